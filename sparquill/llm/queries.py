@@ -5,11 +5,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import quality
+from sparquill.llm import line_dedup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
+    "op6_line_dedup": line_dedup.query,
+    "op10_source_mixing": mixing.query,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_source_mixing": mixing.ORACLE_SQL,
 }
