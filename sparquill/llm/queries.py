@@ -5,10 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import line_dedup, minhash_dedup, mixing, quality
+from sparquill.llm import bpe, line_dedup, minhash_dedup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
+    "op4_bpe": bpe.query,
     "op5_minhash_dedup": minhash_dedup.query,
     "op6_line_dedup": line_dedup.query,
     "op10_source_mixing": mixing.query,
