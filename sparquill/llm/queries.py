@@ -5,16 +5,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import bpe, chat, license_scan, line_dedup, minhash_dedup, mixing, quality, url_filter
+from sparquill.llm import bpe, chat, html_extract, license_scan, line_dedup, minhash_dedup, mixing, nn_descent, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
+    "op2_nn_descent": nn_descent.query,
     "op3_license_scan": license_scan.query,
     "op4_bpe": bpe.query,
     "op5_minhash_dedup": minhash_dedup.query,
     "op6_line_dedup": line_dedup.query,
     "op7_url_filter": url_filter.query,
     "op8_chat_format": chat.query,
+    "op9_html_extraction": html_extract.query,
     "op10_source_mixing": mixing.query,
 }
 ORACLES: dict[str, str] = {
