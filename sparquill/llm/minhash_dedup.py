@@ -36,7 +36,7 @@ ROUNDS, BUCKETS, ROWS = 8, 16, 4
 MANTISSA = 10
 REGISTERS = ROUNDS * BUCKETS
 BANDS = REGISTERS // ROWS
-#: Ids of documents to drop are broadcast up to this many (some 50 MB); beyond it Catalyst chooses the join.
+#: Ids of documents to verify or to drop are broadcast up to this many (some 50 MB); beyond it Catalyst chooses the join.
 MAX_BROADCAST_IDS = 2_000_000
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64)) for i in range(ROUNDS)]
 
@@ -192,7 +192,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = met.select("nodes").distinct().select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node"))
     groups = met.join(same.select("node", "n", "sketch"), "node").groupBy("g").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("x")).select("x")
     links = written(groups.mapInArrow(_links(threshold), "u long, v long").where("u <> v").distinct(), "hyperminhash-links")
-    ends = links.select(F.col("u").alias("node")).unionAll(links.select("v")).distinct()
+    ends = written(links.select(F.col("u").alias("node")).unionAll(links.select("v")).distinct(), "hyperminhash-ends")
+    ends = F.broadcast(ends) if ends.count() <= MAX_BROADCAST_IDS else ends
     sets = texts.join(ends, texts["doc"] == ends["node"], "left_semi").mapInArrow(_sets, "node long, s array<long>")
     sets = written(sets.distinct(), "hyperminhash-sets")
     both = links.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
