@@ -1,6 +1,6 @@
 """All queries of the retrieval engine: name -> (function, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from sparquill.plans import retrieval
+from sparquill.plans import relational, retrieval, texts
 
-ALL = {**retrieval.QUERIES}
+ALL = {**retrieval.QUERIES, **relational.QUERIES, **texts.QUERIES}
