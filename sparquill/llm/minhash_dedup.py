@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import col, written
+from sparquill.llm.common import col, fresh, written
 from sparquill.llm.components import components
 from sparquill.llm.shingles import in_chunks, mixed, shingles, word_hashes
 from sparquill.sources import table
@@ -204,9 +204,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that duplicates() lists; rows of an id that stays all stay."""
-    gone = written(duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("_gone_id")), "near-duplicates")
+    name = fresh(docs, "_gone_id")
+    gone = written(duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias(name)), "near-duplicates")
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
-    return docs.join(gone, col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    return docs.join(gone, col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
