@@ -38,6 +38,9 @@ from sparquill.sources import table
 BITS_PER_LINE = 16
 MAX_FILTER_BYTES = 1 << 28
 HASHES = 4
+#: Lists of staying suspects are broadcast up to this many documents (some 100 MB); beyond it
+#: Catalyst chooses the join, which then shuffles the documents with suspects.
+MAX_BROADCAST_LISTS = 1_000_000
 #: Bits in a slice of a filter: the slices are merged in parallel.
 SLICE_BITS = 1 << 22
 
@@ -168,7 +171,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn(flag, has_suspect(col(text_col)))
     text_at = docs.columns.index(text_col)
     untouched = rows.where(~col(flag)).drop(flag)
+    few = stays.count() <= MAX_BROADCAST_LISTS
     stays = stays.select(F.col("doc").alias(new + "doc"), F.col("key").alias(new + "key"), F.col("at").alias(new + "at"))
+    stays = F.broadcast(stays) if few else stays
     touched = rows.where(col(flag)).join(stays, col(id_col).eqNullSafe(col(new + "doc")) & (key == col(new + "key")), "left")
     touched = touched.withColumn(new, rewrite(col(text_col), col(new + "at")))
     if drop_emptied:
