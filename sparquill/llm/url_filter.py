@@ -40,7 +40,7 @@ def normal(url: str | None) -> tuple[str, list[str]]:
     """Host and path parts of a URL or entry; an empty host if there is none."""
     rest = (url or "").strip()
     scheme = rest.find("://")
-    rest = rest[scheme + 3 :] if scheme >= 0 else rest
+    rest = rest[scheme + 3 :] if scheme >= 0 else rest.removeprefix("//")
     for mark in "#?":
         rest = rest.partition(mark)[0]
     host, _, path = rest.partition("/")

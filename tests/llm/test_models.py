@@ -61,9 +61,10 @@ PAGE = "<html><head><title>t</title></head><body><nav><a href=/x>Menu</a></nav><
 
 
 def test_html_edge_rows(spark):
-    rows = [(1, PAGE, "a"), (2, None, "a"), (3, "", "a"), (None, PAGE, "a"), (1, PAGE, "a"), (4, "no markup at all", "a"), (5, "</p></div><<<>>&&& <b", "a"), (6, "<p>" * 3000 + "deep" + "</p>" * 10, "a"), (7, "<script>var x='<p>no</p>'</script>", "a"), (8, "<div>" * 2000 + "x" * 200_000, "a")]
+    rows = [(1, PAGE, "a"), (2, None, "a"), (3, "", "a"), (None, PAGE, "a"), (1, PAGE, "a"), (4, "no markup at all", "a"), (5, "</p></div><<<>>&&& <b", "a"), (6, "<p>" * 3000 + "deep" + "</p>" * 10, "a"), (7, "<script>var x='<p>no</p>'</script>", "a"), (8, "<div>" * 2000 + "x" * 200_000, "a")] + [(100 + i, PAGE, "a") for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
-    out = E.extract(df, None, ["page_id"]).collect()
+    out = E.extract(df, df.where("page_id >= 100").selectExpr("page_id", "'Title Some words of text, long enough to count. More more. Next' AS text"), ["page_id"]).collect()
+    assert E.extract(df, None, ["page_id"]).count() == len(rows)
     assert len(out) == len(rows)
     by = {r["page_id"]: r["text"] for r in out}
     assert by[2] is None and by[3] == "" and by[7] == "" and "More & more." in by[1] and "Menu" not in by[1]
