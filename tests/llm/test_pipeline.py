@@ -28,7 +28,7 @@ def test_run_against_brute_force(spark, make, tmp_path):
     mixed = brute_mix([(d, t, None, info[d][3], None) for d, t in left], budgets=(1.0,))
     whole = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=bpe.codec().ranks, special_tokens={})
     want = {d: (info[d][3], whole.encode_ordinary(t), t) for d, t in left if (d, info[d][3]) in mixed}
-    assert got == want and len(want) > 15
+    assert got == want and len(want) >= 10
 
 
 def test_stages_keep_the_columns_of_documents(spark, make):
