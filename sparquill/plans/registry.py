@@ -1,6 +1,6 @@
 """All queries of the retrieval engine: name -> (function, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from sparquill.plans import chunks, evidence, graph, relational, retrieval, texts
+from sparquill.plans import analysis, chunks, evidence, graph, relational, retrieval, texts
 
-ALL = {**retrieval.QUERIES, **relational.QUERIES, **texts.QUERIES, **chunks.QUERIES, **graph.QUERIES, **evidence.QUERIES}
+ALL = {**retrieval.QUERIES, **relational.QUERIES, **texts.QUERIES, **chunks.QUERIES, **graph.QUERIES, **evidence.QUERIES, **analysis.QUERIES}
