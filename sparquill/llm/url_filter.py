@@ -7,7 +7,8 @@ for each URL all the entries that could block it (the host and its parent domain
 each directory of the path), probes their digests by vectorised binary search, and confirms every
 hit on the stored string, so that a collision of digests blocks nothing.
 
-The shared folder has to be one that executors mount; for an object store, build() says so.
+Where the shared folder is no mounted file system (an object store), the shards are broadcast
+instead, up to MAX_BROADCAST_BYTES; a larger blocklist then is an error, not a partial result.
 
 Defined results: scheme, user, port, ``www.``, letters' case of the host, query and fragment don't
 matter. A null or empty URL, or one without host, is not blocked. Rows are judged each by itself;
@@ -22,14 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import col, shared_dir
+from sparquill.llm.common import col, shared_dir, written
 from sparquill.sources import table
 
 #: Shards are about this many entries.
 SHARD_ENTRIES = 1 << 20
+MAX_BROADCAST_BYTES = 1 << 29
 #: Path directories that can be part of an entry.
 MAX_PATH_PARTS = 4
 #: Hosts that serve spam, for the query; any table of entries can take its place.
@@ -64,51 +67,74 @@ def candidates(url: str | None) -> list[str]:
     return ["/".join([h, *path[:n]]) for h in hosts for n in range(min(len(path), MAX_PATH_PARTS) + 1)]
 
 
-def _write(folder: str, shards: int):
+def _arrays(entries: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted digests, and the entries in the same order as ends and bytes."""
+    digests = np.array([xxhash.xxh64_intdigest(e) for e in entries], np.uint64)
+    order = np.argsort(digests, kind="stable")
+    data = [entries[i].encode() for i in order]
+    return digests[order], np.cumsum([len(d) for d in data]).astype(np.int64), np.frombuffer(b"".join(data), np.uint8)
+
+
+def _write(folder: str | None):
+    """Shards of rows (shard, entry) as files in folder, or as rows where there is none."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard, rows in pd.concat([pd.DataFrame({"shard": [], "entry": []}), *batches]).groupby("shard"):
-            entries = sorted(set(rows["entry"]))
-            digests = np.array([xxhash.xxh64_intdigest(e) for e in entries], np.uint64)
-            order = np.argsort(digests, kind="stable")
-            data = [entries[i].encode() for i in order]
-            name = os.path.join(folder, f"{int(shard):05d}")
-            # A retried or doubled task writes the same bytes under a name of its own, then renames.
-            for suffix, array in (("digests", digests[order]), ("ends", np.cumsum([len(d) for d in data]).astype(np.int64)), ("strings", np.frombuffer(b"".join(data), np.uint8))):
-                part = f"{name}.{suffix}.{uuid.uuid4().hex}.npy"
-                np.save(part, array)
-                os.replace(part, f"{name}.{suffix}.npy")
-            yield pd.DataFrame({"shard": [int(shard)], "n": [len(entries)]})
+            arrays = _arrays(sorted(set(rows["entry"])))
+            if folder is not None:
+                name = os.path.join(folder, f"{int(shard):05d}")
+                # A retried or doubled task writes the same bytes under a name of its own, then renames.
+                for suffix, array in zip(PARTS, arrays):
+                    part = f"{name}.{suffix}.{uuid.uuid4().hex}.npy"
+                    np.save(part, array)
+                    os.replace(part, f"{name}.{suffix}.npy")
+            yield pd.DataFrame({"shard": [int(shard)], "bytes": [sum(x.nbytes for x in arrays)], **{p: [b"" if folder is not None else x.tobytes()] for p, x in zip(PARTS, arrays)}})
 
     return run
 
 
-def build(entries: DataFrame, url_col: str = "entry") -> tuple[str, int]:
-    """Write the shards of a blocklist; the folder and the number of shards, a power of two."""
+PARTS = ("digests", "ends", "strings")
+
+
+def build(entries: DataFrame, url_col: str = "entry") -> tuple[str | Broadcast, int]:
+    """The shards of a blocklist, as a folder or a broadcast, and their number, a power of two."""
     spark = entries.sparkSession
     normalised = F.pandas_udf(lambda s: s.map(entry), "string")
     clean = entries.select(normalised(col(url_col)).alias("entry")).where("entry <> ''").distinct()
     shards = 1 << max(0, (clean.count() - 1) // SHARD_ENTRIES).bit_length()
     bits = shards.bit_length() - 1
     shared = shared_dir(spark)
-    if "://" in shared and not shared.startswith("file:"):
-        raise NotImplementedError("digest arrays need a shared folder that executors mount")
-    folder = os.path.join(shared.removeprefix("file://").removeprefix("file:"), f"url-digests-{uuid.uuid4().hex}")
-    os.makedirs(folder)
+    folder = None
+    if "://" not in shared or shared.startswith("file:"):
+        folder = os.path.join(shared.removeprefix("file://").removeprefix("file:"), f"url-digests-{uuid.uuid4().hex}")
+        os.makedirs(folder)
     place = F.pandas_udf(lambda s: s.map(lambda e: xxhash.xxh64_intdigest(e) >> (64 - bits) if bits else 0), "int")
-    clean.select(place("entry").alias("shard"), "entry").repartition(shards, "shard").mapInPandas(_write(folder, shards), "shard int, n long").agg(F.sum("n")).collect()
-    return folder, shards
+    made = clean.select(place("entry").alias("shard"), "entry").repartition(shards, "shard").mapInPandas(_write(folder), "shard int, bytes long, digests binary, ends binary, strings binary")
+    if folder is not None:
+        made.agg(F.sum("bytes")).collect()
+        return folder, shards
+    made = written(made, "url-digests")
+    if (made.agg(F.sum("bytes")).first()[0] or 0) > MAX_BROADCAST_BYTES:
+        raise ValueError("a blocklist of this size needs a shared folder that executors mount")
+    kinds = (np.uint64, np.int64, np.uint8)
+    parts: list = [None] * shards
+    for r in made.collect():
+        parts[r["shard"]] = [np.frombuffer(bytes(r[p]), k) for p, k in zip(PARTS, kinds)]
+    return spark.sparkContext.broadcast(parts), shards
 
 
 class Digests:
     """Memory-mapped shards of a blocklist."""
 
-    def __init__(self, folder: str, shards: int):
+    def __init__(self, folder: str | Broadcast, shards: int):
         self.shift = np.uint64(64 - (shards.bit_length() - 1)) if shards > 1 else None
-        self.parts = []
+        self.parts = folder.value if not isinstance(folder, str) else []
+        if self.parts:
+            return
         for i in range(shards):
             name = os.path.join(folder, f"{i:05d}")
             there = os.path.exists(f"{name}.digests.npy")
-            self.parts.append([np.load(f"{name}.{x}.npy", mmap_mode="r") for x in ("digests", "ends", "strings")] if there else None)
+            self.parts.append([np.load(f"{name}.{x}.npy", mmap_mode="r") for x in PARTS] if there else None)
 
     def string(self, part: list, i: int) -> str:
         _, ends, strings = part
@@ -147,12 +173,13 @@ _open: dict[str, Digests] = {}
 def blocked_by(pages: DataFrame, entries: DataFrame, url_col: str = "url", entry_col: str = "entry", out: str = "blocked_by") -> DataFrame:
     """pages and the entry that blocks each row's URL in a column ``out``, null where none does."""
     folder, shards = build(entries, entry_col)
+    name = folder if isinstance(folder, str) else uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def probe(urls: pd.Series) -> pd.Series:
-        if folder not in _open:
-            _open[folder] = Digests(folder, shards)
-        return pd.Series(_open[folder].first_blocking([u if isinstance(u, str) else None for u in urls]), dtype=object)
+        if name not in _open:
+            _open[name] = Digests(folder, shards)
+        return pd.Series(_open[name].first_blocking([u if isinstance(u, str) else None for u in urls]), dtype=object)
 
     return pages.withColumn(out, probe(col(url_col)))
 

@@ -75,6 +75,16 @@ def test_many_shards_against_sets(spark, monkeypatch):
     assert got == set(range(300))
 
 
+def test_broadcast_where_the_folder_is_not_mounted(spark, monkeypatch):
+    monkeypatch.setattr(U, "shared_dir", lambda _: "store://bucket")
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    got = U.blocked_by(pages, spark.createDataFrame([(e,) for e in ENTRIES], "entry string"))
+    assert {r["page_id"]: r["blocked_by"] for r in got.collect()} == dict(enumerate(BLOCKED))
+    monkeypatch.setattr(U, "MAX_BROADCAST_BYTES", 1)
+    with pytest.raises(ValueError):
+        U.blocked_by(pages, spark.createDataFrame([(e,) for e in ENTRIES], "entry string"))
+
+
 def test_colliding_digests_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(U.xxhash, "xxh64_intdigest", lambda s: len(s))
     np.save(tmp_path / "00000.digests.npy", np.array([7, 7], np.uint64))
