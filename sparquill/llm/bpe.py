@@ -23,13 +23,13 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm.common import col
+from sparquill.llm.common import col, in_small_batches, lean
 from sparquill.sources import table
 
 PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and fragments that a worker remembers; then it forgets all and goes on.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 class Codec:
@@ -39,6 +39,7 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
+        self.shared = {i: i for i in self.tokens}  # one number object an id, however many lists hold it
         self.inside = np.zeros(1 << 16, bool)
         for t in self.ranks:
             for a, b in zip(t, t[1:]):
@@ -63,7 +64,7 @@ class Codec:
         parts = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
         known, merge = self.fragments, self.merge
         for f in set(parts) - known.keys():
-            known[f] = merge(f)
+            known[f] = [*map(self.shared.__getitem__, merge(f))]
         first = [0, *np.searchsorted(at, ends).tolist()]
         for p, i, j in zip(pieces, first, first[1:]):
             self.known[p] = known[parts[i]] if j == i + 1 else [x for f in parts[i:j] for x in known[f]]
@@ -122,9 +123,9 @@ def _encode(path: str, pattern: str, rows: int = 256):
 
 def encode(docs: DataFrame, keep: list[str], text_col: str = "text", path: str = PATH, pattern: str = PATTERN) -> DataFrame:
     """The columns ``keep`` of docs with token_ids, n_tokens and the text decoded from the ids."""
-    rows = docs.select(*(col(c) for c in keep), col(text_col).alias("_bpe_text"))
+    rows = in_small_batches(docs).select(*(col(c) for c in keep), col(text_col).alias("_bpe_text"))
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_encode(path, pattern), f"{kinds}{', ' if kinds else ''}token_ids array<int>, n_tokens int, decoded string")
+    return rows.mapInArrow(lean(_encode(path, pattern)), f"{kinds}{', ' if kinds else ''}token_ids array<int>, n_tokens int, decoded string")
 
 
 def decode(rows: DataFrame, keep: list[str], ids_col: str = "token_ids", path: str = PATH, pattern: str = PATTERN) -> DataFrame:
@@ -139,7 +140,7 @@ def decode(rows: DataFrame, keep: list[str], ids_col: str = "token_ids", path: s
 
     picked = rows.select(*(col(c) for c in keep), col(ids_col).alias("_bpe_ids"))
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{kinds}{', ' if kinds else ''}text string")
+    return picked.mapInArrow(lean(run), f"{kinds}{', ' if kinds else ''}text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Shared folder, written intermediate tables, and small helpers of the training-data operators."""
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,35 @@ def fresh(df: DataFrame, base: str) -> str:
 def col(name: str) -> F.Column:
     """A column by its exact name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow that hands freed memory back at its end: workers live on, idle, beside later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+#: Rows of whole texts in an Arrow batch: some MB, where Spark's default of 10,000 makes tens of MB on both sides.
+BATCH_ROWS = 1024
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches limited to BATCH_ROWS rows: memory for texts stays small beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass

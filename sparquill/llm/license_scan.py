@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import col
+from sparquill.llm.common import col, in_small_batches, lean
 from sparquill.sources import table
 
 THRESHOLD = 0.8
@@ -66,7 +66,7 @@ def block_counts(docs: DataFrame, text_col: str, vocabulary: set[str]) -> Counte
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["token", "n"])
 
-    rows = docs.select(col(text_col)).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = docs.select(col(text_col)).mapInArrow(lean(count), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return Counter({r["token"]: r["n"] for r in rows.collect()})
 
 
@@ -110,7 +110,7 @@ class Index:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, block, template, containment): every block (a line's number from 0) that contains a template."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = in_small_batches(docs).schema[id_col].dataType.simpleString()
     names = sorted(templates)
     out = None
     for start in range(0, max(1, len(names)), MAX_TEMPLATES):
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
                 doc, at, name, share = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field(0).type), pa.array(at, pa.int32()), pa.array(name, pa.string()), pa.array(share, pa.float64())], ["doc_id", "block", "template", "containment"])
 
-        found = docs.select(col(id_col), col(text_col)).mapInArrow(find, f"doc_id {kind}, block int, template string, containment double")
+        found = docs.select(col(id_col), col(text_col)).mapInArrow(lean(find), f"doc_id {kind}, block int, template string, containment double")
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -3,8 +3,8 @@
 A line that is equal to an earlier line of the corpus is removed. Occurrences are ordered by
 (doc_id, the text's hash, line number), a null doc_id first; the first one stays.
 
-1. Every task builds two Bloom filters over the 64-bit hashes of its lines: once-seen and
-   twice-seen. They are merged by slice: what two tasks have both seen once counts as seen
+1. Every task makes two Bloom filters of the 64-bit hashes of its lines: once-seen and
+   twice-seen. They are made and merged by slice: what two tasks have both seen once counts as seen
    twice. Only compressed bit slices move here. A filter never misses a repeated line.
 2. Lines in the twice-seen filter are suspected repeats. Only they shuffle, with their text:
    grouping by the text itself confirms repeats exactly and chooses each first occurrence.
@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparquill.llm.common import col, fresh, written
+from sparquill.llm.common import col, fresh, in_small_batches, lean, release, written
 from sparquill.sources import table
 
 BITS_PER_LINE = 16
-MAX_FILTER_BYTES = 1 << 28
+MAX_FILTER_BYTES = 1 << 27
 HASHES = 4
 #: Lists of staying suspects are broadcast up to this many documents (some 100 MB); beyond it
 #: Catalyst chooses the join, which then shuffles the documents with suspects.
@@ -65,26 +65,23 @@ def suspected(hashes: np.ndarray, twice: np.ndarray, bits: int) -> np.ndarray:
     return found.all(axis=1) & (hashes != 0)
 
 
-def _local(text_col: str, bits: int):
+def _local(bits: int):
     """Slices of a task's two filters."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for batch in batches:
-            found = [line_hashes(t)[1] for t in batch.column(0).to_pylist() if t]
-            if not found:
-                continue
-            hashes = np.concatenate(found)
-            unique, count = np.unique(hashes[hashes != 0], return_counts=True)
-            at = positions(unique, bits)
-            again = once[at.astype(np.int64)].all(axis=1) | (count > 1)
-            once[at.ravel().astype(np.int64)] = True
-            twice[at[again].ravel().astype(np.int64)] = True
+        found = [line_hashes(t)[1] for batch in batches for part in range(0, batch.num_rows, 512) for t in batch.column(0).slice(part, 512).to_pylist() if t]
+        hashes, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        some = hashes != 0
+        once, twice = (np.unique(positions(h, bits)).astype(np.int64) for h in (hashes[some], hashes[some & (count > 1)]))
         pack, size = zstandard.ZstdCompressor(level=1), min(bits, SLICE_BITS)
-        for k in range(bits // size):
-            a, b = once[k * size : (k + 1) * size], twice[k * size : (k + 1) * size]
-            if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack.compress(np.packbits(a, bitorder="little").tobytes())], pa.binary()), pa.array([pack.compress(np.packbits(b, bitorder="little").tobytes())], pa.binary())], ["k", "once", "twice"])
+
+        def packed(at: np.ndarray, k: int) -> bytes:
+            own = np.zeros(size, bool)
+            own[at[np.searchsorted(at, k * size) : np.searchsorted(at, (k + 1) * size)] - k * size] = True
+            return pack.compress(np.packbits(own, bitorder="little").tobytes())
+
+        for k in np.unique(once // size).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(once, k)], pa.binary()), pa.array([packed(twice, k)], pa.binary())], ["k", "once", "twice"])
 
     return build
 
@@ -117,8 +114,8 @@ def twice_filter(docs: DataFrame, text_col: str) -> tuple[Broadcast, int]:
     lines = docs.agg(F.sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))).first()[0] or 1
     bits = 1 << max(10, min(8 * MAX_FILTER_BYTES, BITS_PER_LINE * lines) - 1).bit_length()
     bits = min(bits, 8 * MAX_FILTER_BYTES)
-    slices = docs.select(text.alias("t")).mapInArrow(_local(text_col, bits), "k int, once binary, twice binary")
-    merged = slices.repartition("k").sortWithinPartitions("k").mapInArrow(_merge, "k int, twice binary").collect()
+    slices = docs.select(text.alias("t")).mapInArrow(lean(_local(bits)), "k int, once binary, twice binary")
+    merged = slices.repartition("k").sortWithinPartitions("k").mapInArrow(lean(_merge), "k int, twice binary").collect()
     size, unpack = min(bits, SLICE_BITS) // 8, zstandard.ZstdDecompressor()
     twice = np.zeros(bits // 8, np.uint8)
     for k, packed in merged:
@@ -128,7 +125,7 @@ def twice_filter(docs: DataFrame, text_col: str) -> tuple[Broadcast, int]:
 
 def _suspect_lines(twice: Broadcast, bits: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             ids, keys, at, found = [], [], [], []
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text:
@@ -142,11 +139,11 @@ def _suspect_lines(twice: Broadcast, bits: int):
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", drop_emptied: bool = False) -> DataFrame:
     """docs without the lines that repeat earlier ones; chars_col, if docs has it, is counted anew."""
-    twice, bits = twice_filter(docs, text_col)
+    twice, bits = twice_filter(in_small_batches(docs), text_col)
     doc_type = docs.schema[id_col].dataType.simpleString()
     key = F.xxhash64(col(text_col))
     suspects = docs.select(col(id_col).alias("doc"), key.alias("key"), col(text_col).alias("text")).where(F.contains(F.col("text"), F.lit("\n")) | (F.length("text") > 0))
-    suspects = suspects.mapInArrow(_suspect_lines(twice, bits), f"doc {doc_type}, key long, at int, line string")
+    suspects = suspects.mapInArrow(lean(_suspect_lines(twice, bits)), f"doc {doc_type}, key long, at int, line string")
     first = suspects.groupBy("line").agg(F.min(F.struct("doc", "key", "at")).alias("f"))
     stays = written(first.groupBy(F.col("f.doc").alias("doc"), F.col("f.key").alias("key")).agg(F.collect_set("f.at").alias("at")), "line-firsts")
 
@@ -155,39 +152,44 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series([bool(t) and bool(suspected(line_hashes(t)[1], twice.value, bits).any()) for t in texts], dtype=bool)
 
     @F.pandas_udf(T.StringType())
-    def rewrite(texts: pd.Series, keep: pd.Series) -> pd.Series:
-        def one(text: str, at) -> str | None:
+    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def one(text: str | None, at) -> str | None:
+            if not text:
+                return text
             lines, hashes = line_hashes(text)
             gone = suspected(hashes, twice.value, bits)
             if at is not None:
                 gone[np.asarray(at, np.int64)] = False
-            if not gone.any():
-                return text
-            return None if gone.all() else "\n".join(x for x, g in zip(lines, gone) if not g)
+            return text if not gone.any() else "\n".join(x for x, g in zip(lines, gone) if not g)
 
-        return pd.Series([one(t, a) for t, a in zip(texts, keep)], dtype=object)
+        for texts, keep in batches:
+            yield pd.Series([one(t, a) for t, a in zip(texts, keep)], dtype=object)
+        release()
 
-    flag, new = fresh(docs, "_suspect"), fresh(docs, "_text")
-    rows = docs.withColumn(flag, has_suspect(col(text_col)))
-    text_at = docs.columns.index(text_col)
-    untouched = rows.where(~col(flag)).drop(flag)
     few = stays.count() <= MAX_BROADCAST_LISTS
-    stays = stays.select(F.col("doc").alias(new + "doc"), F.col("key").alias(new + "key"), F.col("at").alias(new + "at"))
-    stays = F.broadcast(stays) if few else stays
-    touched = rows.where(col(flag)).join(stays, col(id_col).eqNullSafe(col(new + "doc")) & (key == col(new + "key")), "left")
-    touched = touched.withColumn(new, rewrite(col(text_col), col(new + "at")))
+    flag, new, doc, own, at = (fresh(docs, x) for x in ("_suspect", "_new_text", "_stays_doc", "_stays_key", "_stays_at"))
+    stays = stays.select(F.col("doc").alias(doc), F.col("key").alias(own), F.col("at").alias(at))
+    same = col(id_col).eqNullSafe(col(doc)) & (key == col(own))
+    untouched = None
+    if few:
+        touched = docs.join(F.broadcast(stays), same, "left")
+    else:
+        rows = docs.withColumn(flag, has_suspect(col(text_col)))
+        untouched = rows.where(~col(flag)).select(*(col(c) for c in docs.columns))
+        touched = rows.where(col(flag)).join(stays, same, "left")
+    touched = touched.withColumn(new, rewrite(col(text_col), col(at)))
     if drop_emptied:
-        touched = touched.where(col(new).isNotNull())
-    fresh_text = F.coalesce(col(new), F.lit(""))
+        touched = touched.where(col(new).isNull() | (col(new) != "") | (col(text_col) == ""))
     out = []
-    for i, c in enumerate(docs.columns):
-        if i == text_at:
-            out.append(fresh_text.alias(c))
+    for c in docs.columns:
+        if c == text_col:
+            out.append(col(new).alias(c))
         elif chars_col and c == chars_col:
-            out.append(F.length(fresh_text).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(col(text_col) == col(new), col(c)).otherwise(F.length(col(new))).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(col(c))
-    return untouched.unionAll(touched.select(*out))
+    touched = touched.select(*out)
+    return touched if untouched is None else untouched.unionAll(touched)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

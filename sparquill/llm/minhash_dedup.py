@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import col, fresh, written
+from sparquill.llm.common import col, fresh, in_small_batches, lean, written
 from sparquill.llm.components import components
 from sparquill.llm.shingles import in_chunks, mixed, shingles, word_hashes
 from sparquill.sources import table
@@ -92,7 +92,7 @@ def band_keys(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text with words: its id, two hashes of all its words, number of shingles, sketch."""
-    for batch in batches:
+    for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for i, j in in_chunks(texts):
             h, at = shingles(texts[i:j], SHINGLE)
@@ -172,7 +172,7 @@ def _links(threshold: float):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different shingles of each text."""
-    for batch in batches:
+    for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for i, j in in_chunks(texts):
             h, at = shingles(texts[i:j], SHINGLE)
@@ -183,18 +183,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_id): every document of a group but the one that stays, the group's least id."""
-    texts = docs.select(col(id_col).cast("long").alias("doc"), col(text_col).alias("text")).where("doc IS NOT NULL AND text <> ''")
-    sketches = written(texts.mapInArrow(_sketches, "doc long, w1 long, w2 long, n int, sketch binary"), "hyperminhash")
+    texts = in_small_batches(docs).select(col(id_col).cast("long").alias("doc"), col(text_col).alias("text")).where("doc IS NOT NULL AND text <> ''")
+    sketches = written(texts.mapInArrow(lean(_sketches), "doc long, w1 long, w2 long, n int, sketch binary"), "hyperminhash")
     same = written(sketches.groupBy("w1", "w2").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.collect_set("doc").alias("docs")), "hyperminhash-nodes")
     exact = same.where(F.size("docs") > 1).select(F.explode("docs").alias("u"), F.col("node").alias("v")).where("u <> v")
     # An id with several texts is several nodes of one number; their sketches are candidates each.
-    met = same.select("node", "sketch").mapInArrow(_bands, "band long, node long").groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
+    met = same.select("node", "sketch").mapInArrow(lean(_bands), "band long, node long").groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
     met = met.select("nodes").distinct().select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node"))
     groups = met.join(same.select("node", "n", "sketch"), "node").groupBy("g").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("x")).select("x")
-    links = written(groups.mapInArrow(_links(threshold), "u long, v long").where("u <> v").distinct(), "hyperminhash-links")
+    links = written(groups.mapInArrow(lean(_links(threshold)), "u long, v long").where("u <> v").distinct(), "hyperminhash-links")
     ends = written(links.select(F.col("u").alias("node")).unionAll(links.select("v")).distinct(), "hyperminhash-ends")
     ends = F.broadcast(ends) if ends.count() <= MAX_BROADCAST_IDS else ends
-    sets = texts.join(ends, texts["doc"] == ends["node"], "left_semi").mapInArrow(_sets, "node long, s array<long>")
+    sets = texts.join(ends, texts["doc"] == ends["node"], "left_semi").mapInArrow(lean(_sets), "node long, s array<long>")
     sets = written(sets.distinct(), "hyperminhash-sets")
     both = links.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))

@@ -71,7 +71,7 @@ def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, out_at
 
 
-def in_chunks(texts: list[str], limit: int = 1 << 20):
+def in_chunks(texts: list[str], limit: int = 1 << 18):
     """(start, stop) of runs of texts of about limit characters; a longer text is a run of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):
