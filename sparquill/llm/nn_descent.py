@@ -4,8 +4,9 @@
    leaves are its first neighbours.
 2. Rounds of neighbours-of-neighbours joins: around every vector, its neighbours and those whose
    neighbour it is are compared with each other, where one of the two is new; who is nearer than
-   the last of a list enters it. A crowd of more than CHUNK around a vector is compared in random
-   chunks, other ones each round, so that no one is left out and no join is quadratic.
+   the last of a list enters it. Only neighbours of a cosine of EXPLORE or more lead anywhere: others
+   stay in the lists but open no join. Crowds are compared in random chunks of CHUNK, CROWD of them
+   around a vector in a round and others the next time, so that no join is quadratic.
 3. A list that is full of neighbours above the threshold is saturated: it grows GROWTH times and
    is explored anew. Rounds go on until no pair above the threshold enters and no list is saturated.
 4. An audit compares AUDIT vectors with all others. While it finds less than RECALL of their pairs
@@ -24,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import col, drop_written, written
+from sparquill.llm.common import col, drop_written, lean, written
 from sparquill.sources import table
 
 THRESHOLD = 0.9
 NEIGHBOURS = 8
 GROWTH = 4
 LEAF = 96
-TREES = 6
+TREES = 8
+EXPLORE = 0.6
 CHUNK = 64
+CROWD = 4
 #: Candidates that a chunk names for each of its vectors in a round.
 NAMED = 16
 AUDIT = 1024
@@ -42,8 +45,11 @@ MAX_AUDITS = 8
 _NB = "array<struct<s:float,v:long,f:boolean>>"
 
 
-def _flat(vectors: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1)
+def _flat(vectors: pa.BinaryArray) -> np.ndarray:
+    """The vectors of a binary column as the rows of a matrix, without a copy."""
+    _, ends, data = vectors.buffers()
+    ends = np.frombuffer(ends, np.int32)[vectors.offset : vectors.offset + len(vectors) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(vectors), -1)
 
 
 def _unit(dim: int):
@@ -66,7 +72,7 @@ def _leaves(dim: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                side = (_flat(batch.column(1).to_pylist()) @ planes > 0).reshape(-1, TREES, bits)
+                side = (_flat(batch.column(1)) @ planes > 0).reshape(-1, TREES, bits)
                 code = (side << np.arange(bits)).sum(axis=2) + (np.arange(TREES, dtype=np.int64) << bits)
                 row = np.repeat(np.arange(batch.num_rows), TREES)
                 yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["leaf", "id", "vec"])
@@ -93,7 +99,7 @@ def _out(parts: list[tuple]) -> pa.RecordBatch:
     order = np.lexsort((v, u))
     u, v, s = u[order], v[order], s[order]
     first = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
-    return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(s[first].astype(np.float32))], ["u", "v", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(np.round(s[first].astype(np.float64), 6).astype(np.float32))], ["u", "v", "s"])
 
 
 def _compare(seed: int, most: int, rounds: bool):
@@ -102,12 +108,11 @@ def _compare(seed: int, most: int, rounds: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng, parts, size = np.random.default_rng(seed), [], 0
         chunk = CHUNK if rounds else 8 * LEAF
-        for batch in batches:
-            lists = batch.column(0)
+        for lists in (whole.column(0).slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             ends, rows = lists.offsets.to_numpy(), lists.flatten()
             base = ends[0]
             ids = rows.field("id").to_numpy(zero_copy_only=False)
-            vectors = _flat(rows.field("vec").to_pylist()) if len(ids) else None
+            vectors = _flat(rows.field("vec")) if len(ids) else None
             least = rows.field("least").to_numpy(zero_copy_only=False) if rounds else np.full(len(ids), -2.0)
             new = rows.field("f").to_numpy(zero_copy_only=False).astype(bool) if rounds else None
             for a, b in zip(ends[:-1] - base, ends[1:] - base):
@@ -124,7 +129,7 @@ def _compare(seed: int, most: int, rounds: bool):
                     if len(c) > 1 and (not rounds or new[c].any()):
                         parts.append(_named(ids[c], vectors[c], least[c], None if new is None else new[c], most))
                         size += len(parts[-1][0])
-                if size > 200_000:
+                if size > 600_000:
                     yield _out(parts)
                     parts, size = [], 0
         if size:
@@ -137,7 +142,7 @@ def _merge(threshold: float):
     """Rows of (u, k, nb, found): the k best of both; found ones are new, and all of a list that was saturated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             n = batch.num_rows
             us, ks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             old, got = batch.column(2), batch.column(3)
@@ -157,7 +162,7 @@ def _merge(threshold: float):
                 s, v, f = s[order], v[order], f[order]
                 full = len(s) == ks[i] and s[-1] >= threshold
                 entered.append(int((f & (s >= threshold)).sum())), saturated.append(bool(full)), k_out.append(int(ks[i]) * (GROWTH if full else 1))
-                s_out.append(s), v_out.append(v), f_out.append(np.ones(len(s), bool) if full else f), lengths.append(len(s))
+                s_out.append(s), v_out.append(v), f_out.append((f | full) & (s >= EXPLORE)), lengths.append(len(s))
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate(s_out).astype(np.float32)), pa.array(np.concatenate(v_out).astype(np.int64)), pa.array(np.concatenate(f_out).astype(bool))], ["s", "v", "f"]) if n else None
             if n:
                 nb = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
@@ -169,28 +174,31 @@ def _merge(threshold: float):
 def _graph(before: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     found = pairs.groupBy(F.col("u").alias("w")).agg(F.collect_set(F.struct("s", "v")).alias("found"))
     rows = before.join(found, F.col("u") == F.col("w"), "left").select("u", "k", "nb", F.coalesce("found", F.array().cast("array<struct<s:float,v:long>>")).alias("found"))
-    return written(rows.mapInArrow(_merge(threshold), f"u long, k int, nb {_NB}, entered long, saturated boolean"), "nn-graph")
+    return written(rows.mapInArrow(lean(_merge(threshold)), f"u long, k int, nb {_NB}, entered long, saturated boolean"), "nn-graph")
 
 
 def _round(graph: DataFrame, vectors: DataFrame, seed: int, threshold: float) -> DataFrame:
     edges = graph.select("u", F.explode("nb").alias("e")).select("u", "e.v", "e.f")
     around = edges.select(F.col("u").alias("c"), F.col("v").alias("m"), "f").unionAll(edges.select(F.col("v").alias("c"), F.col("u").alias("m"), "f")).unionAll(graph.select(F.col("u").alias("c"), F.col("u").alias("m"), F.lit(False).alias("f")))
+    # Who is in which join is settled on ids alone; only those picked of a crowd are joined with their vectors.
+    lists = around.groupBy("c").agg(F.collect_list(F.struct("m", "f")).alias("x")).where(F.exists("x", lambda x: x["f"]))
+    around = lists.select("c", F.explode(F.slice(F.shuffle("x", seed), 1, CROWD * CHUNK)).alias("x")).select("c", "x.m", "x.f")
     full = F.size("nb") >= F.col("k")
     state = vectors.join(graph.select("u", F.when(full, F.element_at("nb", -1)["s"]).otherwise(F.lit(-2.0)).cast("float").alias("least")), F.col("id") == F.col("u")).drop("u")
     lists = around.join(state, F.col("m") == F.col("id")).groupBy("c").agg(F.collect_list(F.struct("id", "f", "least", "vec")).alias("x")).select("x")
-    return _graph(graph.select("u", "k", "nb"), lists.mapInArrow(_compare(seed, NAMED, True), "u long, v long, s float"), threshold)
+    return _graph(graph.select("u", "k", "nb"), lists.mapInArrow(lean(_compare(seed, NAMED, True)), "u long, v long, s float"), threshold)
 
 
 def _missed(graph: DataFrame, vectors: DataFrame, n: int, threshold: float, seed: int) -> tuple[int, int]:
     """Of AUDIT vectors: the pairs above the threshold by comparing with all, and how many of them the graph has."""
     sample = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(AUDIT).collect()
-    ids, x = np.array([r["id"] for r in sample]), _flat([bytes(r["vec"]) for r in sample])
+    ids, x = np.array([r["id"] for r in sample]), _flat(pa.array([bytes(r["vec"]) for r in sample], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 own = batch.column(0).to_numpy()
-                s = _flat(batch.column(1).to_pylist()) @ x.T
+                s = _flat(batch.column(1)) @ x.T
                 a, b = np.nonzero((s >= threshold + 1e-6) & (own[:, None] != ids[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[b]), pa.array(own[a])], ["a", "b"])
 
@@ -219,7 +227,7 @@ def near_pairs(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     graph, rounds, true, found = vectors.select(F.col("id").alias("u"), F.lit(NEIGHBOURS).alias("k"), F.array().cast(_NB).alias("nb")), 0, 0, 0
     for audit in range(MAX_AUDITS):
         leaves = vectors.mapInArrow(_leaves(dim, bits, 17 + audit), "leaf long, id long, vec binary").groupBy("leaf").agg(F.collect_list(F.struct("id", "vec")).alias("x")).select("x")
-        graph = _graph(graph.select("u", "k", "nb"), leaves.mapInArrow(_compare(audit, NEIGHBOURS, False), "u long, v long, s float"), threshold)
+        graph = _graph(graph.select("u", "k", "nb"), leaves.mapInArrow(lean(_compare(audit, NEIGHBOURS, False)), "u long, v long, s float"), threshold)
         while rounds < MAX_ROUNDS:
             after = _round(graph, vectors, 1000 + rounds, threshold)
             rounds += 1
