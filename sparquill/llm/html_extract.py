@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm.boosting import Boosted
-from sparquill.llm.common import col
+from sparquill.llm.common import col, in_small_batches, lean
 from sparquill.sources import table
 
 TRAIN_PAGES = 400
@@ -209,15 +209,21 @@ def extract_one(page: Page, score: np.ndarray) -> str:
     return page.text(decode(score, page.parents))
 
 
-def extract(pages: DataFrame, gold: DataFrame | None, keep: list[str], html_col: str = "html", page_col: str = "page_id", train_pages: int = TRAIN_PAGES) -> DataFrame:
-    """The columns ``keep`` of pages with the main ``text`` of each; gold: (page_id, text) of some pages."""
-    sample = pages.where(col(html_col).isNotNull()).select(col(page_col).alias("page_id"), col(html_col).alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
-    rows = sample.collect()
+def extract(pages: DataFrame, gold: DataFrame | Callable[[DataFrame], DataFrame] | None, keep: list[str], html_col: str = "html", page_col: str = "page_id", train_pages: int = TRAIN_PAGES) -> DataFrame:
+    """The columns ``keep`` of pages with the main ``text`` of each.
+
+    gold: (page_id, text) of some pages, or what makes it for the bounded sample of pages it is given.
+    """
+    some = in_small_batches(pages).where(col(html_col).isNotNull())
+    ids = [r[0] for r in some.select(col(page_col)).orderBy(F.xxhash64(col(page_col)), col(page_col)).limit(train_pages).collect()]
+    picked = some.where(col(page_col).isin([i for i in ids if i is not None]) | (col(page_col).isNull() if None in ids else F.lit(False))).limit(train_pages)
+    rows = [(r[0], r[1]) for r in picked.select(col(page_col), col(html_col)).collect()]
+    rows.sort(key=lambda r: (r[0] is None, r[0], r[1]))
     texts: dict = {}
     if gold is not None and rows:
-        ids = [r["page_id"] for r in rows if r["page_id"] is not None]
-        texts = {r["page_id"]: r["text"] for r in gold.where(F.col("page_id").isin(ids)).collect()}
-    model = pages.sparkSession.sparkContext.broadcast(fit([r["html"] for r in rows], [texts.get(r["page_id"]) for r in rows]))
+        known = gold(picked.select(*(col(c) for c in pages.columns if c != html_col))) if callable(gold) else gold.where(F.col("page_id").isin([i for i in ids if i is not None]))
+        texts = {r["page_id"]: r["text"] for r in known.select("page_id", "text").collect()}
+    model = pages.sparkSession.sparkContext.broadcast(fit([h for _, h in rows], [texts.get(i) for i, _ in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -233,9 +239,9 @@ def extract(pages: DataFrame, gold: DataFrame | None, keep: list[str], html_col:
                     out = [None if p is None else extract_one(p, next(scores)) for p in parsed]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), pa.array(out, pa.string())], [*batch.schema.names[:-1], "text"])
 
-    picked = pages.select(*(col(c) for c in keep), col(html_col).alias("_html"))
-    kinds = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{kinds}text string")
+    rest = pages.select(*(col(c) for c in keep), col(html_col).alias("_html"))
+    kinds = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in rest.schema.fields[:-1])
+    return rest.mapInArrow(lean(run), f"{kinds}text string")
 
 
 def gold_of(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -245,5 +251,6 @@ def gold_of(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return extract(pages, gold_of(pages, table(spark, sf_dir, "documents")), ["page_id"])
+    docs = table(spark, sf_dir, "documents")
+    # The sample has TRAIN_PAGES rows at most, so that it can be broadcast and no document shuffles.
+    return extract(table(spark, sf_dir, "pages"), lambda sample: gold_of(F.broadcast(sample), docs), ["page_id"])
