@@ -11,6 +11,9 @@
    forest, grown from one pivot after another, so that a band of n copies yields n - 1 links and
    not n * n / 2. Each remaining node is linked to the node it is most similar to.
 5. Every link is verified on the exact shingle sets. Verified links form the groups.
+6. Bands whose nodes are then of several groups are gone through again: pairs across groups whose
+   estimate doesn't rule them out are verified too, each node's NEXT best first, and then all that
+   still lie across groups, until none is left.
 
 No bucket, band or group is capped. Defined results: null and wordless texts, and rows whose id
 is null, are in no group. Rows of equal id and words are one document; an id with several texts
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import col, fresh, in_small_batches, lean, written
+from sparquill.llm.common import col, drop_written, fresh, in_small_batches, lean, written
 from sparquill.llm.components import components
 from sparquill.llm.shingles import in_chunks, mixed, shingles, word_hashes
 from sparquill.sources import table
@@ -36,6 +39,8 @@ ROUNDS, BUCKETS, ROWS = 8, 16, 4
 MANTISSA = 10
 REGISTERS = ROUNDS * BUCKETS
 BANDS = REGISTERS // ROWS
+#: Partners of other groups that a node of a band is verified against before all of them are.
+NEXT = 16
 #: Ids of documents to verify or to drop are broadcast up to this many (some 50 MB); beyond it Catalyst chooses the join.
 MAX_BROADCAST_IDS = 2_000_000
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64)) for i in range(ROUNDS)]
@@ -142,15 +147,18 @@ def forest(ids: np.ndarray, sketch: np.ndarray, n: np.ndarray, threshold: float)
 
 
 def _links(threshold: float):
+    """(u, v, band): links with a null band; a band of more than two nodes that has a link, alone in a row."""
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slack = 2.5 * np.sqrt(threshold * (1 - threshold) / REGISTERS)
         for batch in batches:
-            group = batch.column(0)
+            group, bands = batch.column(0), batch.column(1).to_numpy()
             at, rows = group.offsets.to_numpy(), group.flatten()
             base = at[0]
             ids, n = rows.field(0).to_numpy(zero_copy_only=False), rows.field(1).to_numpy(zero_copy_only=False).astype(np.float64)
             sketch = np.frombuffer(b"".join(rows.field(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
             out: list[np.ndarray] = []
+            crowds: list[int] = []
             first = at[:-1] - base
             pairs = first[np.diff(at) == 2]
             if len(pairs):
@@ -161,15 +169,59 @@ def _links(threshold: float):
                 s = slice(at[i] - base, at[i + 1] - base)
                 order = np.argsort(ids[s])
                 own, links = ids[s][order], list(forest(ids[s], sketch[s][order], n[s][order], threshold))
-                if links:
+                if links:  # without one, each node was compared with all others
                     out.append(own[np.asarray(links).T])
+                    crowds.append(bands[i])
             if out:
                 u, v = np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.nulls(len(u), pa.int64())], ["u", "v", "band"])
+            if crowds:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(crowds), pa.int64()), pa.nulls(len(crowds), pa.int64()), pa.array(crowds, pa.int64())], ["u", "v", "band"])
 
     return link
 
 
+def across(root: np.ndarray, sketch: np.ndarray, n: np.ndarray, least: float, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions) of one band's nodes of different roots, estimated at ``least`` or more: each node's ``most`` best, or all."""
+    for i in range(len(root)):
+        other = np.flatnonzero(root != root[i]) if most else i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if len(other):
+            e = estimated(sketch[other], n[other], sketch[i], n[i])
+            good = np.flatnonzero(e >= least)
+            if most and len(good) > most:
+                good = good[np.argpartition(-e[good], most - 1)[:most]]
+            if len(good):
+                yield np.full(len(good), i), other[good]
+
+
+def _rest(threshold: float, most: int | None):
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = threshold - 2.5 * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+
+        def batch_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            u, v = (np.concatenate(x) for x in zip(*parts))
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+        for batch in batches:
+            group = batch.column(0)
+            at, rows = group.offsets.to_numpy(), group.flatten()
+            ids, n, root = rows.field(0).to_numpy(zero_copy_only=False), rows.field(1).to_numpy(zero_copy_only=False).astype(np.float64), rows.field(3).to_numpy(zero_copy_only=False)
+            sketch = np.frombuffer(b"".join(rows.field(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            parts, size = [], 0
+            for a, b in zip(at[:-1] - at[0], at[1:] - at[0]):
+                for x, y in across(root[a:b], sketch[a:b], n[a:b], least, most):
+                    parts.append((ids[a:b][x], ids[a:b][y]))
+                    size += len(x)
+                    if size > 200_000:
+                        yield batch_of(parts)
+                        parts, size = [], 0
+            if parts:
+                yield batch_of(parts)
+
+    return rest
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different shingles of each text."""
     for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
@@ -189,9 +241,32 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = same.where(F.size("docs") > 1).select(F.explode("docs").alias("u"), F.col("node").alias("v")).where("u <> v")
     # An id with several texts is several nodes of one number; their sketches are candidates each.
     met = same.select("node", "sketch").mapInArrow(lean(_bands), "band long, node long").groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
-    met = met.select("nodes").distinct().select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node"))
-    groups = met.join(same.select("node", "n", "sketch"), "node").groupBy("g").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("x")).select("x")
-    links = written(groups.mapInArrow(lean(_links(threshold)), "u long, v long").where("u <> v").distinct(), "hyperminhash-links")
+    met = written(met.select("nodes").distinct().select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node")), "hyperminhash-bands")
+    groups = met.join(same.select("node", "n", "sketch"), "node").groupBy("g").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("x")).select("x", "g")
+    found = written(groups.mapInArrow(lean(_links(threshold)), "u long, v long, band long"), "hyperminhash-found")
+    tried = written(found.where("u <> v").select("u", "v").distinct(), "hyperminhash-links")
+    near = _verified(texts, tried, threshold)
+    groups = components(near.unionAll(exact))
+    crowds = met.join(found.where("band IS NOT NULL").select(F.col("band").alias("g")).distinct(), "g", "left_semi")
+    for most in (NEXT, None):
+        # Nodes of their crowds with their roots; crowds that are one group by now need nothing more.
+        rooted = crowds.join(groups.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("g", "node", F.coalesce("root", "node").alias("root"))
+        open_ = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
+        lists = rooted.join(open_, "g", "left_semi").join(same.select("node", "n", "sketch"), "node").groupBy("g").agg(F.collect_list(F.struct("node", "n", "sketch", "root")).alias("x")).select("x")
+        more = lists.mapInArrow(lean(_rest(threshold, most)), "u long, v long").where("u <> v").distinct()
+        more = written(more.join(tried, ["u", "v"], "left_anti"), "hyperminhash-more")
+        if more.isEmpty():
+            continue
+        joined = _verified(texts, more, threshold)
+        tried = tried.unionAll(more)
+        if not joined.isEmpty():
+            near = near.unionAll(joined)
+            groups = components(near.unionAll(exact))
+    return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
+
+
+def _verified(texts: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """The links (u, v) whose texts' shingle sets have a Jaccard similarity of threshold or more."""
     ends = written(links.select(F.col("u").alias("node")).unionAll(links.select("v")).distinct(), "hyperminhash-ends")
     ends = F.broadcast(ends) if ends.count() <= MAX_BROADCAST_IDS else ends
     sets = texts.join(ends, texts["doc"] == ends["node"], "left_semi").mapInArrow(lean(_sets), "node long, s array<long>")
@@ -199,7 +274,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = links.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     near = both.where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    return components(near.unionAll(exact)).select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
+    near = written(near, "hyperminhash-near")
+    drop_written(sets)
+    return near
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -63,6 +63,23 @@ def test_groups_against_brute_force(make):
     assert set(got) <= set(want)
 
 
+def crowd(rng, first, size, share):
+    """Texts that keep each word of one base text but for a share: pairs of a Jaccard of 0.5 to 0.7."""
+    base = [rng.choice(VOCABULARY) for _ in range(300)]
+    return [(first + k, edited(rng, base, share)) for k in range(size)]
+
+
+def test_crowds_around_the_threshold(make):
+    rng, rows = random.Random(17), []
+    for c in range(12):
+        rows += crowd(rng, 1000 * c, 40, 0.045 + 0.003 * (c % 4))
+    want = brute(rows)
+    got = {r["doc_id"]: r["kept_id"] for r in M.duplicates(make(rows)).collect()}
+    lost = set(want) - set(got)
+    assert len(want) > 60 and set(got) <= set(want)
+    assert len(lost) <= 0.01 * len(want) and len(set(got.items()) & set(want.items())) >= 0.97 * len(want), (len(want), len(lost))
+
+
 def test_edge_rows_and_columns(make):
     long = " ".join(VOCABULARY[i % 3000] for i in range(60_000))
     rows = [(1, "Same words, here now!"), (2, "same WORDS here now"), (2, "same WORDS here now"), (3, None), (4, ""), (5, "... !!"), (6, "--"), (None, "same words here now"), (7, long), (8, long + " end"), (9, "one"), (10, "One.")]
