@@ -4,13 +4,15 @@
    leaves are its first neighbours.
 2. Rounds of neighbours-of-neighbours joins: around every vector, its neighbours and those whose
    neighbour it is are compared with each other, where one of the two is new; who is nearer than
-   the last of a list enters it. Only neighbours of a cosine of EXPLORE or more lead anywhere: others
-   stay in the lists but open no join. Crowds are compared in random chunks of CHUNK, CROWD of them
-   around a vector in a round and others the next time, so that no join is quadratic.
+   the last of a list enters it. Of a list that has grown, only the NEIGHBOURS nearest and those of a
+   cosine of EXPLORE or more lead anywhere: others stay in it but open no join. Crowds are compared
+   in random chunks of CHUNK, so that no join is quadratic; all of a crowd's members are, in rows of
+   CROWD chunks, so that nobody new goes without a join.
 3. A list that is full of neighbours above the threshold is saturated: it grows GROWTH times and
    is explored anew. Rounds go on until no pair above the threshold enters and no list is saturated.
-4. An audit compares AUDIT vectors with all others. While it finds less than RECALL of their pairs
-   in the graph, leaves of new hyperplanes are added and the rounds resume.
+4. An audit compares AUDIT vectors with all others, and so many more until PAIRED have a pair or no
+   vector is left. While the graph has less than RECALL of their pairs, or of a vector's pairs in the
+   mean of the vectors that have one, leaves of new hyperplanes are added and the rounds resume.
 
 Defined results: null vectors, vectors with null, NaN or infinite parts, zero vectors, null ids
 and vectors not of the commonest length (ties: the greatest) have no pairs. Rows of one id are one
@@ -39,6 +41,7 @@ CROWD = 4
 #: Candidates that a chunk names for each of its vectors in a round.
 NAMED = 16
 AUDIT = 1024
+PAIRED = 128
 RECALL = 0.97
 MAX_ROUNDS = 60
 MAX_AUDITS = 8
@@ -138,8 +141,8 @@ def _compare(seed: int, most: int, rounds: bool):
     return run
 
 
-def _merge(threshold: float):
-    """Rows of (u, k, nb, found): the k best of both; found ones are new, and all of a list that was saturated."""
+def _merge(threshold: float, keep: bool = False):
+    """Rows of (u, k, nb, found): the k best of both; found ones are new, and all of a list that was saturated; with keep, those not joined yet stay new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
@@ -148,6 +151,7 @@ def _merge(threshold: float):
             old, got = batch.column(2), batch.column(3)
             oe, ge = old.offsets.to_numpy(), got.offsets.to_numpy()
             o, g = old.flatten(), got.flatten()
+            waiting = o.field("f").to_numpy(zero_copy_only=False).astype(bool) & keep
             os_, ov = o.field("s").to_numpy(zero_copy_only=False), o.field("v").to_numpy(zero_copy_only=False)
             gs, gv = g.field("s").to_numpy(zero_copy_only=False), g.field("v").to_numpy(zero_copy_only=False)
             oe, ge = oe - oe[0], ge - ge[0]
@@ -155,14 +159,14 @@ def _merge(threshold: float):
             for i in range(n):
                 a, b, c, d = oe[i], oe[i + 1], ge[i], ge[i + 1]
                 s, v = np.concatenate([os_[a:b], gs[c:d]]), np.concatenate([ov[a:b], gv[c:d]])
-                f = np.arange(len(v)) >= b - a
+                f = np.concatenate([waiting[a:b], np.ones(d - c, bool)])
                 order = np.lexsort((f, v))
                 order = order[np.concatenate([[True], v[order][1:] != v[order][:-1]])] if len(order) else order
                 order = order[np.lexsort((v[order], -s[order]))][: ks[i]]
                 s, v, f = s[order], v[order], f[order]
                 full = len(s) == ks[i] and s[-1] >= threshold
                 entered.append(int((f & (s >= threshold)).sum())), saturated.append(bool(full)), k_out.append(int(ks[i]) * (GROWTH if full else 1))
-                s_out.append(s), v_out.append(v), f_out.append((f | full) & (s >= EXPLORE)), lengths.append(len(s))
+                s_out.append(s), v_out.append(v), f_out.append((f | full) & ((s >= EXPLORE) | (np.arange(len(s)) < NEIGHBOURS))), lengths.append(len(s))
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate(s_out).astype(np.float32)), pa.array(np.concatenate(v_out).astype(np.int64)), pa.array(np.concatenate(f_out).astype(bool))], ["s", "v", "f"]) if n else None
             if n:
                 nb = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
@@ -171,41 +175,51 @@ def _merge(threshold: float):
     return run
 
 
-def _graph(before: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _graph(before: DataFrame, pairs: DataFrame, threshold: float, keep: bool = False) -> DataFrame:
     found = pairs.groupBy(F.col("u").alias("w")).agg(F.collect_set(F.struct("s", "v")).alias("found"))
     rows = before.join(found, F.col("u") == F.col("w"), "left").select("u", "k", "nb", F.coalesce("found", F.array().cast("array<struct<s:float,v:long>>")).alias("found"))
-    return written(rows.mapInArrow(lean(_merge(threshold)), f"u long, k int, nb {_NB}, entered long, saturated boolean"), "nn-graph")
+    return written(rows.mapInArrow(lean(_merge(threshold, keep)), f"u long, k int, nb {_NB}, entered long, saturated boolean"), "nn-graph")
 
 
 def _round(graph: DataFrame, vectors: DataFrame, seed: int, threshold: float) -> DataFrame:
     edges = graph.select("u", F.explode("nb").alias("e")).select("u", "e.v", "e.f")
     around = edges.select(F.col("u").alias("c"), F.col("v").alias("m"), "f").unionAll(edges.select(F.col("v").alias("c"), F.col("u").alias("m"), "f")).unionAll(graph.select(F.col("u").alias("c"), F.col("u").alias("m"), F.lit(False).alias("f")))
-    # Who is in which join is settled on ids alone; only those picked of a crowd are joined with their vectors.
+    # Who is in which join is settled on ids alone: a crowd in rows of CROWD chunks, of which those with someone new are joined with their vectors.
     lists = around.groupBy("c").agg(F.collect_list(F.struct("m", "f")).alias("x")).where(F.exists("x", lambda x: x["f"]))
-    around = lists.select("c", F.explode(F.slice(F.shuffle("x", seed), 1, CROWD * CHUNK)).alias("x")).select("c", "x.m", "x.f")
+    width = CROWD * CHUNK
+    mixed = lists.select("c", F.when(F.size("x") > width, F.transform(F.array_sort(F.transform("x", lambda e: F.struct(F.xxhash64(e["m"], "c", F.lit(seed)).alias("h"), e["m"].alias("m"), e["f"].alias("f")))), lambda e: F.struct(e["m"].alias("m"), e["f"].alias("f")))).otherwise(F.col("x")).alias("x"))
+    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / width).cast("int")), lambda i: F.slice("x", i * width + 1, width))
+    around = mixed.select("c", F.posexplode(rows).alias("row", "x")).where(F.exists("x", lambda x: x["f"])).select("c", "row", F.explode("x").alias("x")).select("c", "row", "x.m", "x.f")
     full = F.size("nb") >= F.col("k")
     state = vectors.join(graph.select("u", F.when(full, F.element_at("nb", -1)["s"]).otherwise(F.lit(-2.0)).cast("float").alias("least")), F.col("id") == F.col("u")).drop("u")
-    lists = around.join(state, F.col("m") == F.col("id")).groupBy("c").agg(F.collect_list(F.struct("id", "f", "least", "vec")).alias("x")).select("x")
+    lists = around.join(state, F.col("m") == F.col("id")).groupBy("c", "row").agg(F.collect_list(F.struct("id", "f", "least", "vec")).alias("x")).select("x")
     return _graph(graph.select("u", "k", "nb"), lists.mapInArrow(lean(_compare(seed, NAMED, True)), "u long, v long, s float"), threshold)
 
 
-def _missed(graph: DataFrame, vectors: DataFrame, n: int, threshold: float, seed: int) -> tuple[int, int]:
-    """Of AUDIT vectors: the pairs above the threshold by comparing with all, and how many of them the graph has."""
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(AUDIT).collect()
-    ids, x = np.array([r["id"] for r in sample]), _flat(pa.array([bytes(r["vec"]) for r in sample], pa.binary()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own = batch.column(0).to_numpy()
-                s = _flat(batch.column(1)) @ x.T
-                a, b = np.nonzero((s >= threshold + 1e-6) & (own[:, None] != ids[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[b]), pa.array(own[a])], ["a", "b"])
-
-    true = vectors.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    have = pairs_of(graph, threshold).select(F.col("vec_a"), F.col("vec_b"), F.lit(1).alias("hit"))
-    row = true.join(have, (F.col("a") == F.col("vec_a")) & (F.col("b") == F.col("vec_b")), "left").agg(F.count("*"), F.count("hit")).first()
-    return row[0], row[1]
+def _audited(graph: DataFrame, vectors: DataFrame, n: int, threshold: float, seed: int) -> tuple[int, int, int, float]:
+    """By comparing vectors with all: their pairs, how many of them the graph has, the vectors with a pair, the mean share of a vector's pairs that the graph has."""
+    order = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    have = pairs_of(graph, threshold).select("vec_a", "vec_b", F.lit(1).alias("hit"))
+    true = found = paired = start = 0
+    shares = 0.0
+    while start < n and paired < PAIRED:
+        sample = order.offset(start).limit(AUDIT).collect()
+        start += AUDIT
+        ids, x = np.array([r["id"] for r in sample]), _flat(pa.array([bytes(r["vec"]) for r in sample], pa.binary()))
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, x=x) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    own = batch.column(0).to_numpy()
+                    s = _flat(batch.column(1)) @ x.T
+                    a, b = np.nonzero((s >= threshold + 1e-6) & (own[:, None] != ids[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[b]), pa.array(own[a])], ["of", "other"])
+
+        pairs = vectors.mapInArrow(run, "of long, other long").select("of", F.least("of", "other").alias("a"), F.greatest("of", "other").alias("b"))
+        each = pairs.join(have, (F.col("a") == F.col("vec_a")) & (F.col("b") == F.col("vec_b")), "left").groupBy("of").agg(F.count("*").alias("t"), F.count("hit").alias("g"))
+        row = each.agg(F.sum("t"), F.sum("g"), F.count("*"), F.sum(F.col("g") / F.col("t"))).first()
+        true, found, paired, shares = true + (row[0] or 0), found + (row[1] or 0), paired + row[2], shares + (row[3] or 0.0)
+    return true, found, paired, shares / paired if paired else 1.0
 
 
 def pairs_of(graph: DataFrame, threshold: float) -> DataFrame:
@@ -227,7 +241,7 @@ def near_pairs(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     graph, rounds, true, found = vectors.select(F.col("id").alias("u"), F.lit(NEIGHBOURS).alias("k"), F.array().cast(_NB).alias("nb")), 0, 0, 0
     for audit in range(MAX_AUDITS):
         leaves = vectors.mapInArrow(_leaves(dim, bits, 17 + audit), "leaf long, id long, vec binary").groupBy("leaf").agg(F.collect_list(F.struct("id", "vec")).alias("x")).select("x")
-        graph = _graph(graph.select("u", "k", "nb"), leaves.mapInArrow(lean(_compare(audit, NEIGHBOURS, False)), "u long, v long, s float"), threshold)
+        graph = _graph(graph.select("u", "k", "nb"), leaves.mapInArrow(lean(_compare(audit, NEIGHBOURS, False)), "u long, v long, s float"), threshold, keep=True)
         while rounds < MAX_ROUNDS:
             after = _round(graph, vectors, 1000 + rounds, threshold)
             rounds += 1
@@ -236,12 +250,12 @@ def near_pairs(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "em
             graph = after
             if not any(moved):
                 break
-        true, found = _missed(graph, vectors, n, threshold, audit)
-        if found >= RECALL * true:
+        true, found, paired, share = _audited(graph, vectors, n, threshold, audit)
+        if found >= RECALL * true and share >= RECALL:
             if report is not None:
-                report.update(n=n, rounds=rounds, audits=audit + 1, true=true, found=found)
+                report.update(n=n, rounds=rounds, audits=audit + 1, true=true, found=found, paired=paired, share=share)
             return pairs_of(graph, threshold)
-    raise RuntimeError(f"{found} of {true} audited pairs after {rounds} rounds and {MAX_AUDITS} sets of leaves")
+    raise RuntimeError(f"{found} of {true} audited pairs, {share:.3f} of a vector's, after {rounds} rounds and {MAX_AUDITS} sets of leaves")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sparquill.llm import html_extract as E
 from sparquill.llm import nn_descent as N
@@ -33,6 +34,40 @@ def test_nn_descent_recall(spark):
     assert min(got.values()) >= N.THRESHOLD - 1e-5 and report["found"] >= N.RECALL * report["true"]
 
 
+def test_nn_descent_joins_all_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(N, "CHUNK", 8)
+    monkeypatch.setattr(N, "CROWD", 1)
+    x = np.random.default_rng(3).standard_normal((201, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, vec binary")
+    graph = spark.createDataFrame([(i, 8, [] if i == 0 else [(0.5, 0, True)]) for i in range(201)], f"u long, k int, nb {N._NB}")
+    after = {r["u"]: r["nb"] for r in N._round(graph, vectors, 1, N.THRESHOLD).collect()}
+    assert sum(len(after[i]) > 1 for i in range(1, 201)) >= 195  # each was compared with a chunk, not only a few of them
+
+
+def test_nn_descent_far_neighbours_open_joins():
+    found = pa.array([[{"s": 0.1 + i / 100, "v": i} for i in range(12)]], pa.list_(pa.struct([("s", pa.float32()), ("v", pa.int64())])))
+    none = pa.array([[]], pa.list_(pa.struct([("s", pa.float32()), ("v", pa.int64()), ("f", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([99]), pa.array([N.NEIGHBOURS], pa.int32()), none, found], ["u", "k", "nb", "found"])
+    out = next(N._merge(N.THRESHOLD)(iter([batch]))).to_pylist()[0]
+    assert [e["f"] for e in out["nb"]] == [True] * N.NEIGHBOURS
+
+
+def test_nn_descent_audit_counts_vectors(spark, monkeypatch):
+    """One group of many pairs that the graph has, many lone pairs that it hasn't: only the mean over vectors shows them."""
+    monkeypatch.setattr(N, "AUDIT", 16)
+    monkeypatch.setattr(N, "PAIRED", 1000)
+    x = np.zeros((60, 32), np.float32)
+    x[:40, 0] = 1
+    for i in range(10):
+        x[40 + 2 * i : 42 + 2 * i, 1 + i] = 1
+    vectors = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, vec binary")
+    graph = spark.createDataFrame([(i, [(1.0, j, False) for j in range(40) if j != i] if i < 40 else []) for i in range(60)], f"u long, nb {N._NB}")
+    true, found, paired, share = N._audited(graph, vectors, 60, N.THRESHOLD, 0)
+    assert (true, found, paired) == (40 * 39 + 20, 40 * 39, 60) and share == pytest.approx(40 / 60)
+    assert found >= N.RECALL * true and share < N.RECALL
+
+
 def test_nn_descent_edge_rows(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [1.0, None], 0), (7, [float("nan"), 1.0], 0), (None, [1.0, 0.0], 0), (8, [1.0, 0.0, 0.0], 0), (9, [0.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vec int")
