@@ -1,6 +1,7 @@
 """License scans as an exact set-similarity join.
 
-A text block is a line; its tokens are the different lower-cased runs of ASCII letters and digits.
+A text block is a line or, with paragraphs, a run of lines that aren't blank, so that license text
+wrapped over lines is one block; its tokens are the different lower-cased runs of ASCII letters and digits.
 A block matches a template if at least THRESHOLD of the template's tokens are in it.
 
 Tokens are ordered by the number of blocks of the whole corpus that hold them, rarest first. Of a
@@ -54,14 +55,28 @@ def needed(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
-def block_counts(docs: DataFrame, text_col: str, vocabulary: set[str]) -> Counter:
+def blocks_of(text: str, paragraphs: bool) -> Iterator[tuple[int, str]]:
+    """The blocks of a text, each with the number of its (first) line."""
+    lines = text.split("\n")
+    if not paragraphs:
+        yield from enumerate(lines)
+        return
+    start = 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not lines[i].strip():
+            if i > start:
+                yield start, "\n".join(lines[start:i])
+            start = i + 1
+
+
+def block_counts(docs: DataFrame, text_col: str, vocabulary: set[str], paragraphs: bool = False) -> Counter:
     """Blocks of the corpus that hold each token of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for block in (text or "").split("\n"):
+                for _, block in blocks_of(text or "", paragraphs):
                     found.update(tokens(block) & vocabulary)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["token", "n"])
@@ -108,14 +123,14 @@ class Index:
         return found
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block, template, containment): every block (a line's number from 0) that contains a template."""
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", paragraphs: bool = False) -> DataFrame:
+    """(doc_id, block, template, containment): every block (its first line's number from 0) that contains a template."""
     kind = in_small_batches(docs).schema[id_col].dataType.simpleString()
     names = sorted(templates)
     out = None
     for start in range(0, max(1, len(names)), MAX_TEMPLATES):
         part = {n: templates[n] for n in names[start : start + MAX_TEMPLATES]}
-        counts = block_counts(docs, text_col, set().union(*map(tokens, part.values())))
+        counts = block_counts(docs, text_col, set().union(*map(tokens, part.values())), paragraphs)
         index = docs.sparkSession.sparkContext.broadcast(Index(part, counts, threshold))
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -123,7 +138,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
                 rows: list[tuple] = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if text and not tokens(text).isdisjoint(index.value.starts):
-                        for i, block in enumerate(text.split("\n")):
+                        for i, block in blocks_of(text, paragraphs):
                             rows += [(doc, i, name, common / size) for name, common, size in index.value.matches(block)]
                 doc, at, name, share = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field(0).type), pa.array(at, pa.int32()), pa.array(name, pa.string()), pa.array(share, pa.float64())], ["doc_id", "block", "template", "containment"])
@@ -137,6 +152,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def paragraphs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan by paragraphs: what query() finds in a line, and license text wrapped over lines."""
+    return scan(table(spark, sf_dir, "documents"), paragraphs=True)
+
+
 _VALUES = ", ".join("('" + n + "', '" + t.lower().replace("'", "''") + "')" for n, t in TEMPLATES.items())
 ORACLE_SQL = f"""
 WITH t AS (

@@ -11,6 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op2_nn_descent": nn_descent.query,
     "op3_license_scan": license_scan.query,
+    "op3_license_paragraphs": license_scan.paragraphs_query,
     "op4_bpe": bpe.query,
     "op5_minhash_dedup": minhash_dedup.query,
     "op6_line_dedup": line_dedup.query,

@@ -49,6 +49,33 @@ def test_scan_in_several_passes_and_odd_templates(make, monkeypatch):
     assert got == brute_scan(rows, templates, 0.6)
 
 
+WRAPPED = {
+    "mit-grant": "MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute",
+    "gpl-3.0-header": "x\n \nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\r\n\r\nend",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "apache-2.0-header": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at",
+}
+
+
+def test_wrapped_licenses_are_paragraphs(make):
+    rows = list(enumerate(WRAPPED.values()))
+    got = {(r["doc_id"], r["template"]): (r["block"], r["containment"]) for r in S.scan(make(rows), paragraphs=True).collect()}
+    first = [4, 2, 0, 0]
+    assert all(got[i, name] == (first[i], 1.0) for i, name in enumerate(WRAPPED))
+    lines = {(r["doc_id"], r["template"]) for r in S.scan(make(rows)).collect()}
+    assert lines <= set(got) and not lines & set(enumerate(WRAPPED))
+
+
+def test_paragraphs_against_brute_force(make):
+    rows = license_rows()
+    joined = [(d, t and t.replace("\n", " ")) for d, t in rows]  # none of them has a blank line between two others
+    got = Counter((r["doc_id"], r["template"], r["containment"]) for r in S.scan(make(rows), paragraphs=True).collect())
+    want = Counter()
+    for (d, _, name, share), n in brute_scan(joined).items():
+        want[d, name, share] += n
+    assert got == want and len(got) > 60
+
+
 def test_scan_of_nothing(make):
     assert S.scan(make([])).count() == 0 and S.scan(make([(1, "MIT License")]), {}).count() == 0
 
