@@ -4,7 +4,7 @@ The blocklist's entries (hosts, or hosts with a path prefix) are split by the fi
 64-bit xxhash into shards; each shard is a file of sorted digests beside one of the entries
 themselves, written by executors into the shared folder. A worker memory-maps the shards, makes
 for each URL all the entries that could block it (the host and its parent domains, alone and with
-each directory of the path), probes their digests by vectorised binary search, and confirms every
+each prefix of the path that is no longer than the longest entry's), probes their digests by vectorised binary search, and confirms every
 hit on the stored string, so that a collision of digests blocks nothing.
 
 Where the shared folder is no mounted file system (an object store), the shards are broadcast
@@ -33,8 +33,6 @@ from sparquill.sources import table
 #: Shards are about this many entries.
 SHARD_ENTRIES = 1 << 20
 MAX_BROADCAST_BYTES = 1 << 29
-#: Path directories that can be part of an entry.
-MAX_PATH_PARTS = 4
 #: Hosts that serve spam, for the query; any table of entries can take its place.
 BLOCKED = ["spam-farm.example.org", "cheap-pills.example.com", "malware.example.net", "casino-bonus.example.com", "spam-farm.example.com", "cheap-pills.example.org"]
 
@@ -54,17 +52,17 @@ def normal(url: str | None) -> tuple[str, list[str]]:
 
 def entry(url: str | None) -> str:
     host, path = normal(url)
-    return "/".join([host, *path[:MAX_PATH_PARTS]]) if host else ""
+    return "/".join([host, *path]) if host else ""
 
 
-def candidates(url: str | None) -> list[str]:
-    """All entries that block this URL, the longest host first."""
+def candidates(url: str | None, parts: int | None = None) -> list[str]:
+    """All entries that block this URL, the longest host first; with parts, those of so many path parts at most."""
     host, path = normal(url)
     if not host:
         return []
     labels = host.split(".")
     hosts = [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))]
-    return ["/".join([h, *path[:n]]) for h in hosts for n in range(min(len(path), MAX_PATH_PARTS) + 1)]
+    return ["/".join([h, *path[:n]]) for h in hosts for n in range((len(path) if parts is None else min(len(path), parts)) + 1)]
 
 
 def _arrays(entries: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,12 +94,13 @@ def _write(folder: str | None):
 PARTS = ("digests", "ends", "strings")
 
 
-def build(entries: DataFrame, url_col: str = "entry") -> tuple[str | Broadcast, int]:
-    """The shards of a blocklist, as a folder or a broadcast, and their number, a power of two."""
+def build(entries: DataFrame, url_col: str = "entry") -> tuple[str | Broadcast, int, int]:
+    """The shards of a blocklist, as a folder or a broadcast, their number, a power of two, and the path parts of its longest entry."""
     spark = entries.sparkSession
     normalised = F.pandas_udf(lambda s: s.map(entry), "string")
     clean = entries.select(normalised(col(url_col)).alias("entry")).where("entry <> ''").distinct()
-    shards = 1 << max(0, (clean.count() - 1) // SHARD_ENTRIES).bit_length()
+    n, longest = clean.agg(F.count("*"), F.max(F.size(F.split("entry", "/")) - 1)).first()
+    shards = 1 << max(0, (n - 1) // SHARD_ENTRIES).bit_length()
     bits = shards.bit_length() - 1
     shared = shared_dir(spark)
     folder = None
@@ -112,7 +111,7 @@ def build(entries: DataFrame, url_col: str = "entry") -> tuple[str | Broadcast,
     made = clean.select(place("entry").alias("shard"), "entry").repartition(shards, "shard").mapInPandas(_write(folder), "shard int, bytes long, digests binary, ends binary, strings binary")
     if folder is not None:
         made.agg(F.sum("bytes")).collect()
-        return folder, shards
+        return folder, shards, longest or 0
     made = written(made, "url-digests")
     if (made.agg(F.sum("bytes")).first()[0] or 0) > MAX_BROADCAST_BYTES:
         raise ValueError("a blocklist of this size needs a shared folder that executors mount")
@@ -120,13 +119,14 @@ def build(entries: DataFrame, url_col: str = "entry") -> tuple[str | Broadcast,
     parts: list = [None] * shards
     for r in made.collect():
         parts[r["shard"]] = [np.frombuffer(bytes(r[p]), k) for p, k in zip(PARTS, kinds)]
-    return spark.sparkContext.broadcast(parts), shards
+    return spark.sparkContext.broadcast(parts), shards, longest or 0
 
 
 class Digests:
     """Memory-mapped shards of a blocklist."""
 
-    def __init__(self, folder: str | Broadcast, shards: int):
+    def __init__(self, folder: str | Broadcast, shards: int, longest: int | None = None):
+        self.longest = longest
         self.shift = np.uint64(64 - (shards.bit_length() - 1)) if shards > 1 else None
         self.parts = folder.value if not isinstance(folder, str) else []
         if self.parts:
@@ -142,7 +142,7 @@ class Digests:
 
     def first_blocking(self, urls: list[str | None]) -> list[str | None]:
         """For each URL the first of its candidates that is in the blocklist."""
-        each = [candidates(u) for u in urls]
+        each = [candidates(u, self.longest) for u in urls]
         flat = [c for x in each for c in x]
         out: list[str | None] = [None] * len(urls)
         if not flat:
@@ -172,13 +172,13 @@ _open: dict[str, Digests] = {}
 
 def blocked_by(pages: DataFrame, entries: DataFrame, url_col: str = "url", entry_col: str = "entry", out: str = "blocked_by") -> DataFrame:
     """pages and the entry that blocks each row's URL in a column ``out``, null where none does."""
-    folder, shards = build(entries, entry_col)
+    folder, shards, longest = build(entries, entry_col)
     name = folder if isinstance(folder, str) else uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def probe(urls: pd.Series) -> pd.Series:
         if name not in _open:
-            _open[name] = Digests(folder, shards)
+            _open[name] = Digests(folder, shards, longest)
         return pd.Series(_open[name].first_blocking([u if isinstance(u, str) else None for u in urls]), dtype=object)
 
     return pages.withColumn(out, probe(col(url_col)))

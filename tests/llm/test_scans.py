@@ -94,6 +94,14 @@ def test_urls(spark):
     assert U.blocked_by(pages.limit(0), spark.createDataFrame([("a.b",)], "entry string")).count() == 0
 
 
+def test_long_entries_block_no_siblings(spark):
+    entries = ["h.example.net/a/b/c/d/bad/x", "i.example.net/p"]
+    urls = {"http://h.example.net/a/b/c/d/bad/x/deep?q": entries[0], "http://h.example.net/a/b/c/d/bad/x": entries[0], "http://h.example.net/a/b/c/d/good": None, "http://h.example.net/a/b/c/d/bad": None, "http://h.example.net/a/b/c/d/bad/xy": None, "http://i.example.net/p/1/2/3/4/5/6/7": entries[1]}
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = U.blocked_by(pages, spark.createDataFrame([(e,) for e in entries], "entry string"))
+    assert {r["url"]: r["blocked_by"] for r in got.collect()} == urls
+
+
 def test_many_shards_against_sets(spark, monkeypatch):
     monkeypatch.setattr(U, "SHARD_ENTRIES", 40)
     entries = [f"host{i}.example.net" for i in range(300)]
