@@ -3,8 +3,8 @@
 A pair of neighbouring bytes that occurs inside no token of the vocabulary can never be merged
 over: it marks a certain cut. A text is first taken apart by the vocabulary's word pattern, then
 each piece at its certain cuts. The fragments are encoded independently of each other and their
-ids concatenated; equal fragments, very frequent in any language, are encoded once a batch of
-memory. The ids are those of encoding the whole text at once, and decoding gives the text back.
+ids concatenated; equal fragments, very frequent in any language, are encoded once a
+task's memory. The ids are those of encoding the whole text at once, and decoding gives the text back.
 
 Merges inside a fragment follow the ranks of the vocabulary file (tiktoken's merge of one piece); it is read by every worker from
 ``path`` (a parameter; the file is not part of this repository and no vocabulary is trained).
@@ -28,8 +28,8 @@ from sparquill.sources import table
 
 PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and fragments that a worker remembers; then it forgets all and goes on.
-MEMORY = 150_000
+#: Pieces and fragments that a task remembers; then it forgets all and goes on.
+MEMORY = 50_000
 
 
 class Codec:
@@ -89,14 +89,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str = PATH, pattern: str = PATTERN) -> Codec:
-    """This process's codec of a vocabulary file."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    """A codec of a vocabulary file. A task makes its own: idle workers, which live on beside later stages, hold none."""
+    return Codec(path, pattern)
 
 
 def _lists(rows: list[list[int] | None]) -> pa.ListArray:
