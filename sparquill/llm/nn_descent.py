@@ -1,5 +1,7 @@
-"""Near-duplicate embeddings by NN-descent: all pairs of a cosine of at least THRESHOLD.
+"""Near-duplicate embeddings by NN-descent: the pairs of a cosine of at least THRESHOLD.
 
+0. Equal vectors are one class, named by its least id, which alone takes part: copies, however
+   many, cost nothing further and their pairs are never expanded.
 1. Random hyperplanes put the vectors into leaves, TREES times over; each vector's nearest in its
    leaves are its first neighbours.
 2. Rounds of neighbours-of-neighbours joins: around every vector, its neighbours and those whose
@@ -14,9 +16,13 @@
    vector is left. While the graph has less than RECALL of their pairs, or of a vector's pairs in the
    mean of the vectors that have one, leaves of new hyperplanes are added and the rounds resume.
 
-Defined results: null vectors, vectors with null, NaN or infinite parts, zero vectors, null ids
-and vectors not of the commonest length (ties: the greatest) have no pairs. Rows of one id are one
-vector, the least. Equal vectors pair like any. Other columns are ignored.
+The result is a row a vector: its class and the number of its links, that is of all other vectors
+of a cosine of at least THRESHOLD, its own copies among them. Pairs are those of classes.
+
+Defined results: null vectors, vectors with null, NaN or infinite parts, zero vectors and vectors
+not of the commonest length (ties: the greatest) are classes of their own, without links. Rows of
+one id are one vector, the least; rows whose id is null are left out. An empty table gives none.
+Other columns, whatever their names, are ignored.
 """
 from __future__ import annotations
 
@@ -38,8 +44,6 @@ TREES = 8
 EXPLORE = 0.6
 CHUNK = 64
 CROWD = 4
-#: Candidates that a chunk names for each of its vectors in a round.
-NAMED = 16
 AUDIT = 1024
 PAIRED = 128
 RECALL = 0.97
@@ -193,7 +197,7 @@ def _round(graph: DataFrame, vectors: DataFrame, seed: int, threshold: float) ->
     full = F.size("nb") >= F.col("k")
     state = vectors.join(graph.select("u", F.when(full, F.element_at("nb", -1)["s"]).otherwise(F.lit(-2.0)).cast("float").alias("least")), F.col("id") == F.col("u")).drop("u")
     lists = around.join(state, F.col("m") == F.col("id")).groupBy("c", "row").agg(F.collect_list(F.struct("id", "f", "least", "vec")).alias("x")).select("x")
-    return _graph(graph.select("u", "k", "nb"), lists.mapInArrow(lean(_compare(seed, NAMED, True)), "u long, v long, s float"), threshold)
+    return _graph(graph.select("u", "k", "nb"), lists.mapInArrow(lean(_compare(seed, CHUNK, True)), "u long, v long, s float"), threshold)
 
 
 def _audited(graph: DataFrame, vectors: DataFrame, n: int, threshold: float, seed: int) -> tuple[int, int, int, float]:
@@ -227,16 +231,26 @@ def pairs_of(graph: DataFrame, threshold: float) -> DataFrame:
     return e.groupBy("vec_a", "vec_b").agg(F.round(F.max("s").cast("double"), 5).alias("cosine"))
 
 
-def near_pairs(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, report: dict | None = None) -> DataFrame:
-    """(vec_a, vec_b, cosine), vec_a < vec_b, of the pairs found; report gets n, rounds and the audit's counts."""
+def classes(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame] | None:
+    """(id, class) of the vectors that can have pairs, and (id, vec, copies), a unit vector for each class; None if there is none."""
     rows = embeddings.select(col(id_col).cast("long").alias("id"), col(vec_col).alias("v")).where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    spark = embeddings.sparkSession
     if sizes is None:
-        return spark.createDataFrame([], "vec_a long, vec_b long, cosine double")
-    dim = sizes["d"]
-    vectors = written(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_unit(dim), "id long, vec binary"), "nn-vectors")
-    n = vectors.count()
+        return None
+    vectors = written(rows.where(F.size("v") == sizes["d"]).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_unit(sizes["d"]), "id long, vec binary"), "nn-vectors")
+    each = written(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nn-classes")
+    # Only ids and vectors of classes with copies meet; the adaptive join splits a class that holds a third of all rows.
+    copied = each.where("copies > 1").select(F.col("id").alias("class"), F.col("vec").alias("w"))
+    return vectors.join(copied, F.col("vec") == F.col("w"), "left").select("id", F.coalesce("class", "id").alias("class")), each
+
+
+def near_pairs(each: DataFrame, threshold: float = THRESHOLD, report: dict | None = None) -> DataFrame:
+    """(vec_a, vec_b, cosine), vec_a < vec_b, of the pairs found among the unit vectors (id, vec); report gets n, rounds and the audit's counts."""
+    vectors = each.select("id", "vec")
+    n, dim = vectors.agg(F.count("*"), F.max(F.octet_length("vec")) / 4).first()
+    if not n:
+        return each.sparkSession.createDataFrame([], "vec_a long, vec_b long, cosine double")
+    dim = int(dim)
     bits = max(1, int(np.ceil(np.log2(max(1, n) / LEAF))))
     graph, rounds, true, found = vectors.select(F.col("id").alias("u"), F.lit(NEIGHBOURS).alias("k"), F.array().cast(_NB).alias("nb")), 0, 0, 0
     for audit in range(MAX_AUDITS):
@@ -258,5 +272,21 @@ def near_pairs(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     raise RuntimeError(f"{found} of {true} audited pairs, {share:.3f} of a vector's, after {rounds} rounds and {MAX_AUDITS} sets of leaves")
 
 
+def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, report: dict | None = None) -> DataFrame:
+    """(vec_id, class_id, links): a row for every id."""
+    ids = embeddings.select(col(id_col).cast("long").alias("vec_id")).where("vec_id IS NOT NULL").distinct()
+    made = classes(embeddings, id_col, vec_col)
+    if made is None:
+        return ids.select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    members, each = made
+    pairs = near_pairs(each, threshold, report)
+    both = pairs.select(F.col("vec_a").alias("of"), F.col("vec_b").alias("other")).unionAll(pairs.select("vec_b", "vec_a"))
+    others = both.join(each.select(F.col("id").alias("other"), "copies"), "other").groupBy("of").agg(F.sum("copies").alias("near"))
+    own = each.select(F.col("id").alias("class"), (F.col("copies") - 1).alias("twins")).join(others, F.col("class") == F.col("of"), "left")
+    links = own.select("class", (F.col("twins") + F.coalesce("near", F.lit(0))).alias("links"))
+    known = members.join(links, "class").select(F.col("id").alias("_id"), F.col("class").alias("class_id"), "links")
+    return ids.join(known, F.col("vec_id") == F.col("_id"), "left").select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -20,6 +20,11 @@ def brute_pairs(ids, x, t=N.THRESHOLD):
     return {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(a, b) if ids[i] != ids[j]}
 
 
+def near(df, report=None):
+    made = N.classes(df)
+    return {(r["vec_a"], r["vec_b"]): r["cosine"] for r in N.near_pairs(made[1], report=report).collect()}
+
+
 def test_nn_descent_recall(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((900, 32))
@@ -28,12 +33,27 @@ def test_nn_descent_recall(spark):
     x = np.concatenate([base, crowd, twins]).astype(np.float32)
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
     report = {}
-    got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in N.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4), report=report).collect()}
+    got = near(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4), report)
     want = brute_pairs(list(range(len(x))), x)
     assert len(want) > 4000 and len(want & set(got)) >= 0.97 * len(want) and set(got) <= want
     assert min(got.values()) >= N.THRESHOLD - 1e-5 and report["found"] >= N.RECALL * report["true"]
 
 
+def test_nn_descent_counts_links_of_copies(spark):
+    """Every vector's links against brute force, exact copies of a near crowd included."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((300, 16))
+    crowd = rng.standard_normal(16) + 0.05 * rng.standard_normal((40, 16))
+    x = np.concatenate([base, crowd, np.repeat(crowd[:3], 50, axis=0), np.repeat(base[:1], 80, axis=0)]).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in N.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= N.THRESHOLD).sum(axis=1) - 1
+    assert sorted(got) == list(range(len(x)))
+    assert sum(got[i][1] == want[i] for i in got) >= 0.97 * len(x) and all(got[i][1] <= want[i] for i in got)
+    assert {got[i][0] for i in range(490, 570)} == {0} and {got[i][0] for i in range(340, 390)} == {300}
+
+
 def test_nn_descent_joins_all_of_a_crowd(spark, monkeypatch):
     monkeypatch.setattr(N, "CHUNK", 8)
     monkeypatch.setattr(N, "CROWD", 1)
@@ -71,8 +91,9 @@ def test_nn_descent_audit_counts_vectors(spark, monkeypatch):
 def test_nn_descent_edge_rows(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [1.0, None], 0), (7, [float("nan"), 1.0], 0), (None, [1.0, 0.0], 0), (8, [1.0, 0.0, 0.0], 0), (9, [0.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vec int")
-    assert [(r["vec_a"], r["vec_b"], r["cosine"]) for r in N.near_pairs(df).collect()] == [(1, 2, 1.0)]
-    assert N.near_pairs(df.limit(0)).count() == 0
+    got = sorted(tuple(r) for r in N.near_vectors(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), *((i, i, 0) for i in range(3, 10))]
+    assert N.near_vectors(df.limit(0)).count() == 0 and N.near_vectors(df.where("vec_id = 3")).count() == 1
 
 
 def f1(a, b):
@@ -132,3 +153,16 @@ def test_unclosed_paragraphs_do_not_nest():
     for i, p in enumerate(page.parents):
         depth[i] = depth[p] + 1 if p >= 0 else 0
     assert [d for d, t in zip(depth, page.tags) if t == "p"] == [2, 2, 1] and len(re.findall("li", " ".join(page.tags))) == 2
+
+
+def test_stray_tags_take_linear_time():
+    import time
+
+    t = time.perf_counter()
+    page = E.Page("<b>" * 40_000 + "</x>" * 40_000 + "<div>" * 20_000 + "</span>" * 20_000 + "<p>a" * 20_000)
+    assert len(page.tags) == 80_001 and time.perf_counter() - t < 8
+
+
+def test_stray_ends_leave_blocks_open():
+    page = E.Page("<b><div>one</b>two</div>three")
+    assert [page.tags[i] for i, t in page.pieces if t] == ["div", "div", "b"]
