@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,15 +15,26 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach: spark.checkpoint.dir of the session.
 
-    Where the session names none (tests, notebooks), one is set for this application.
+    Where a local session names none (tests, notebooks), one is set for this application; on a cluster
+    that is an error, as executors would write what the driver can't read.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sparquill-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """path as a file system path where it names a local or mounted folder, as Hadoop resolves it, else None."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if found.toUri().getScheme() is None:
+        found = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found)
+    return found.toUri().getPath() if found.toUri().getScheme() == "file" else None
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs nothing.
 

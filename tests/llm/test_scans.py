@@ -155,3 +155,20 @@ def test_chat_table(spark):
 @pytest.mark.parametrize("bad", ["x", "<|im_start|>user", "<|im_start|>user\na", "<|im_start|>u\na<|im_end|>\nx"])
 def test_parser_refuses_other_text(bad):
     assert H.parse(bad) is None
+
+
+def test_a_missing_shard_is_an_error(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        U.Digests(str(tmp_path), 2, (3, 0), frozenset({1}))
+
+
+def test_long_hosts_and_paths_cost_no_more_than_the_blocklist_asks_for():
+    host = ".".join(["a"] * 25_000) + ".bad.example.com"
+    made = U.candidates(f"http://{host}/" + "/".join("x" * 1000), (3, 2))
+    assert made[0] == "bad.example.com" and len(made) == 2 * 3
+
+
+def test_clashing_result_column(spark):
+    pages = spark.createDataFrame([("http://a.b", "x")], "url string, blocked_by string")
+    with pytest.raises(ValueError):
+        U.blocked_by(pages, spark.createDataFrame([("a.b",)], "entry string"))
