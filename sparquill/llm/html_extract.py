@@ -35,6 +35,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|head|noscript|template|svg)\
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
+_PHRASES = frozenset("p b i span a em strong".split())
 _GOOD = frozenset("article main content body post entry story text".split())
 _BAD = frozenset("nav menu ad ads advert banner footer header aside sidebar social share related comment comments cookie promo breadcrumb links widget copyright".split())
 _KINDS = {t: i for i, ts in enumerate(("p", "div section", "ul ol li", "a", "nav aside", "footer header", "article main", "h1 h2 h3 h4 h5 h6", "table tr td th", "span b i em strong u", "html body"), 1) for t in ts.split()}
@@ -50,6 +51,18 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.names, self.pieces = ["#root"], [-1], [frozenset()], []
         stack, last = [0], 0
+        # Where in the stack each tag is open, and blocks, and blocks other than p: no tag makes the parser search the stack.
+        open_at: dict[str, list[int]] = {}
+        blocks, others = [], []
+
+        def close(k: int) -> None:
+            for i in range(len(stack) - 1, k - 1, -1):
+                open_at[self.tags[stack[i]]].pop()
+                for held in (blocks, others):
+                    if held and held[-1] == i:
+                        held.pop()
+            del stack[k:]
+
         for m in _TAG.finditer(html):
             if m.start() > last:
                 self.pieces.append((stack[-1], html[last : m.start()]))
@@ -59,27 +72,25 @@ class Page:
                 continue
             tag = tag.lower()
             if m.group(2):
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        del stack[k:]
-                        break
-                    if tag in ("p", "b", "i", "span", "a", "em", "strong") and self.tags[stack[k]] in _BLOCK and self.tags[stack[k]] != tag:
-                        break  # a stray end tag doesn't close the blocks around it
+                at = open_at.get(tag)
+                around = others if tag == "p" else blocks
+                # A stray end tag of a phrase doesn't close the blocks around it.
+                if at and not (tag in _PHRASES and around and around[-1] > at[-1]):
+                    close(at[-1])
                 continue
-            if tag == "p" or tag == "li":
-                for k in range(len(stack) - 1, 0, -1):
-                    above = self.tags[stack[k]]
-                    if above == tag:
-                        del stack[k:]
-                        break
-                    if above in _BLOCK:
-                        break
+            if tag in ("p", "li") and blocks and self.tags[stack[blocks[-1]]] == tag:
+                close(blocks[-1])
             attrs = m.group(4)
             named = frozenset(t for x in _NAMES.findall(attrs) for t in re.split(r"[^a-z0-9]+", "".join(x).lower()) if t) if "=" in attrs else frozenset()
             self.tags.append(tag), self.parents.append(stack[-1]), self.names.append(named)
             if tag in _VOID:
                 self.pieces.append((len(self.tags) - 1, ""))
             elif not attrs.endswith("/"):
+                open_at.setdefault(tag, []).append(len(stack))
+                if tag in _BLOCK:
+                    blocks.append(len(stack))
+                    if tag != "p":
+                        others.append(len(stack))
                 stack.append(len(self.tags) - 1)
         if last < len(html):
             self.pieces.append((stack[-1], html[last:]))
