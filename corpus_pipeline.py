@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The largest mix in which all sources have the same number of tokens."""
+    """mixing.SHARE of all tokens, shared among sources by the mixing.TEMPERATURE-th power of their tokens; small sources give all they have."""
     return mixing.mix(docs)
 
 

@@ -8,12 +8,14 @@ further, until single hash values remain. What results is a threshold for each s
 budget; a filter on the hash then takes the documents. Smaller budgets have lower thresholds,
 so their documents are among those of the larger ones.
 
-The full mix is the largest with the target weights that no source has to repeat documents
-for: total = min(tokens of source / weight). Budgets are fractions of it.
-
-Defined results: weights are normalised over the sources that occur; by default all weigh the
-same; a source with no weight takes no part. Sources without a token don't limit the mix.
-A null source is a source of its own, weighted under None. Rows with equal ids have equal
+The full mix has SHARE of the tokens of the weighted sources. Each gives its weight's part of it; one
+that has less gives all it has, and the others fill up by their weights, so that no small source
+shrinks the mix. By default a source weighs the TEMPERATURE-th power of its tokens: large sources
+stay the largest, small ones count for more than their size. Budgets are fractions of the full mix.
+
+Defined results: given weights are those of the sources that occur; a source with no weight takes no
+part. An empty table gives an empty mix. Very long texts count like any. Columns of any name pass
+through; ``out`` may not be one of them. A null source is a source of its own, weighted under None. Rows with equal ids have equal
 hashes and are taken or left together; so are those whose id is null. A null text has 0 tokens.
 """
 from __future__ import annotations
@@ -30,6 +32,9 @@ HASH_BITS = 60
 #: Bits of the hash by which each step splits: the whole corpus first, then the boundary buckets alone.
 LEVELS = (12, 24, 24)
 BUDGETS = (0.25, 0.5, 1.0)
+#: Of all tokens, those in the full mix, and the power of a source's tokens that is its weight.
+SHARE = 0.8
+TEMPERATURE = 0.7
 #: Thresholds are broadcast up to this many rows, about 10 MB; beyond it Catalyst chooses the join.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -46,32 +51,46 @@ def words(text: Column) -> Column:
 
 
 def _weights(totals: DataFrame, weights: Mapping | None) -> DataFrame:
-    """(source, weight) of the sources of totals; weights sum to 1."""
+    """(source, tokens, weight) of the sources of totals that have a weight."""
     if weights is None:
-        given = totals.withColumn("weight", F.lit(1.0))
-    else:
-        spark = totals.sparkSession
-        kind = totals.schema["source"].dataType.simpleString()
-        asked = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "name string, weight double")
-        asked = asked.withColumn("name", F.col("name").cast(kind))
-        given = totals.join(asked, F.col("source").eqNullSafe(F.col("name"))).drop("name").where("weight > 0")
-    everything = given.agg(F.sum("weight").alias("all_weights"))
-    return given.crossJoin(everything).select("source", "tokens", (F.col("weight") / F.col("all_weights")).alias("weight"))
+        return totals.withColumn("weight", F.pow(F.col("tokens").cast("double"), TEMPERATURE)).where("weight > 0")
+    kind = totals.schema["source"].dataType.simpleString()
+    asked = totals.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "name string, weight double")
+    asked = asked.withColumn("name", F.col("name").cast(kind))
+    return totals.join(asked, F.col("source").eqNullSafe(F.col("name"))).drop("name").where("weight > 0 AND tokens > 0")
+
+
+def levels(given: DataFrame, budgets: Sequence[float], share: float = SHARE) -> dict[float, float]:
+    """For each budget the tokens a unit of weight at which sources give budget * share of all tokens.
+
+    Sources with less than that give all they have. Each step closes those that are short at the level so far; as the
+    level only rises, few steps settle it, and each is one sum over a row a source.
+    """
+    total = (given.agg(F.sum("tokens")).first()[0] or 0) * share
+    level = {b: 0.0 for b in sorted(set(map(float, budgets)))}
+    while total:
+        sums = []
+        for i, (b, x) in enumerate(level.items()):
+            short = F.col("tokens") <= F.lit(x) * F.col("weight")
+            sums += [F.sum(F.when(short, F.col("tokens"))).alias(f"t{i}"), F.sum(F.when(~short, F.col("weight"))).alias(f"w{i}")]
+        row = given.agg(*sums).first()
+        new = {b: (b * total - (row[f"t{i}"] or 0)) / row[f"w{i}"] if row[f"w{i}"] else x for i, (b, x) in enumerate(level.items())}
+        if all(abs(new[b] - level[b]) <= 1e-12 * abs(new[b]) for b in new):
+            break
+        level = new
+    return level
 
 
 def thresholds(docs: DataFrame, weights: Mapping | None = None, budgets: Sequence[float] = BUDGETS, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
     """(source, budget, below): the documents of source with a hash under ``below`` fill its share of budget."""
-    spark = docs.sparkSession
     tokens = words(col("text")) if tokens is None else tokens
     rows = docs.select(col(source_col).alias("source"), id_hash(col(id_col)).alias("h"), tokens.alias("tokens"))
     shift = HASH_BITS - LEVELS[0]
     hist = written(rows.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("tokens").alias("tokens")), "mix-histogram")
-    totals = _weights(hist.groupBy("source").agg(F.sum("tokens").alias("tokens")), weights)
-    mix = totals.where("tokens > 0").agg(F.min(F.col("tokens") / F.col("weight")).alias("total"))
-    levels = spark.createDataFrame([(float(b),) for b in sorted(set(budgets))], "budget double")
-    share = F.floor(F.col("weight") * F.coalesce(F.col("total"), F.lit(0.0)) * F.col("budget") + 1e-6)
+    totals = written(_weights(hist.groupBy("source").agg(F.sum("tokens").alias("tokens")), weights), "mix-totals")
+    level = F.explode(F.array(*(F.struct(F.lit(b).alias("budget"), F.lit(x).alias("level")) for b, x in levels(totals, budgets).items())))
     # left: what of the share is still free; at: the lowest hash not yet decided
-    open_ = totals.crossJoin(mix).crossJoin(levels).select("source", "budget", share.alias("left"), F.lit(0).cast("long").alias("at"))
+    open_ = totals.select("source", "tokens", "weight", level.alias("x")).select("source", "x.budget", F.floor(F.least(F.col("tokens").cast("double"), F.col("weight") * F.col("x.level")) + 1e-6).alias("left"), F.lit(0).cast("long").alias("at"))
     width = HASH_BITS
     by = Window.partitionBy("source", "budget").orderBy("b")
     for level, bits in enumerate(LEVELS):
@@ -98,6 +117,8 @@ def thresholds(docs: DataFrame, weights: Mapping | None = None, budgets: Sequenc
 
 def mix(docs: DataFrame, weights: Mapping | None = None, budgets: Sequence[float] = BUDGETS, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, out: str | None = None) -> DataFrame:
     """The documents of the largest budget; with out, the smallest budget that takes each in a column of that name."""
+    if out and fresh(docs, out) != out:
+        raise ValueError(f"docs has a column {out}")
     found = thresholds(docs, weights, budgets, id_col, source_col, tokens)
     s, g = fresh(docs, "_mix_source"), fresh(docs, "_mix_budgets")
     per = found.groupBy(F.col("source").alias(s)).agg(F.array_sort(F.collect_list(F.struct("below", "budget"))).alias(g))
@@ -121,14 +142,21 @@ ORACLE_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, {_H} AS h, {SQL_WORDS} AS tokens FROM documents
 ), totals AS (
-  SELECT source, sum(tokens) AS tokens, 1.0::DOUBLE / count(*) OVER () AS weight FROM d GROUP BY source
-), mix AS (
-  SELECT min(tokens::DOUBLE / weight) AS total FROM totals WHERE tokens > 0
+  SELECT source, sum(tokens)::BIGINT AS tokens, pow(sum(tokens)::DOUBLE, {TEMPERATURE}) AS weight FROM d GROUP BY source HAVING sum(tokens) > 0
+), budgets AS (
+  SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS budget
+), steps AS (
+  SELECT budget, source, tokens, weight, (budget * {SHARE} * sum(tokens) OVER (PARTITION BY budget) - coalesce(sum(tokens) OVER (PARTITION BY budget ORDER BY tokens / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (PARTITION BY budget ORDER BY tokens / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM totals, budgets
+), level AS (
+  SELECT budget, max(level) AS level FROM steps WHERE level * weight < tokens GROUP BY budget
+), shares AS (
+  SELECT s.source, s.budget, floor(least(s.tokens::DOUBLE, coalesce(s.weight * l.level, s.tokens)) + 1e-6) AS share FROM steps s LEFT JOIN level l USING (budget)
 ), sums AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM d
 )
-SELECT doc_id, source, min(budget)::DOUBLE AS budget
-FROM sums JOIN totals USING (source) CROSS JOIN mix CROSS JOIN (VALUES (0.25), (0.5), (1.0)) b(budget)
-WHERE upto <= floor(weight * total * budget::DOUBLE + 1e-6)
-GROUP BY doc_id, source
+SELECT doc_id, sums.source, min(budget)::DOUBLE AS budget
+FROM sums JOIN shares ON sums.source IS NOT DISTINCT FROM shares.source
+WHERE upto <= share
+GROUP BY doc_id, sums.source
 """

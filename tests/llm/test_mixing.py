@@ -18,19 +18,20 @@ def brute(rows, weights=None, budgets=X.BUDGETS):
     by = defaultdict(list)
     for doc, text, _, source, _ in rows:
         by[source].append((h(doc), words(text), doc))
-    w = {s: 1.0 if weights is None else weights.get(s, 0) for s in by}
-    w = {s: x / sum(w.values()) for s, x in w.items() if x > 0}
-    total = min((sum(t for _, t, _ in by[s]) / x for s, x in w.items() if sum(t for _, t, _ in by[s]) > 0), default=0)
-    out = []
-    for s, x in w.items():
-        for b in sorted(budgets, reverse=True):
-            share = int(x * total * b + 1e-6)
+    has = {s: sum(t for _, t, _ in d) for s, d in by.items()}
+    w = {s: has[s] ** X.TEMPERATURE if weights is None else weights.get(s, 0) for s in by if has[s]}
+    w = {s: x for s, x in w.items() if x > 0}
+    best = {}
+    for b in budgets:
+        goal, low, high = b * X.SHARE * sum(has[s] for s in w), 0.0, 1e12
+        for _ in range(300):  # bisection for the level at which all sources together give the goal
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(has[s], level * x) for s, x in w.items()) < goal else (low, level)
+        for s, x in w.items():
+            share = int(min(has[s], low * x) + 1e-6)
             for a, _, doc in by[s]:
                 if sum(t for c, t, _ in by[s] if c <= a) <= share:
-                    out.append((doc, s, b))
-    best = {}
-    for doc, s, b in out:
-        best[doc, s] = min(b, best.get((doc, s), 9))
+                    best[doc, s] = min(b, best.get((doc, s), 9))
     return best
 
 
@@ -54,9 +55,17 @@ def test_nulls_ties_repeats_and_extremes(make):
 
 def test_columns_empty_table_and_no_tokens(make):
     df = make([(1, "a b", "en", "a", 1, 2, 3), (2, "a b", "en", "b", 1, 2, 3)], "doc_id long, text string, lang string, source string, n_chars long, h int, below int")
-    assert X.mix(df).columns == df.columns and X.mix(df).count() == 2
+    assert X.mix(df).columns == df.columns and X.mix(make([(i, "a b", "en", "ab"[i % 2], 1, 2, 3) for i in range(10)], df.schema)).count() == 8
     assert X.mix(make([])).count() == 0
-    assert X.mix(make([(1, "", "en", "a", 0)])).count() == 1  # no tokens: the empty budget has room for it
+    assert X.mix(make([(1, "", "en", "a", 0)])).count() == 0  # no tokens: no source takes part
+    with pytest.raises(ValueError):
+        X.mix(df, out="H")
+
+
+def test_a_small_source_gives_all_and_shrinks_nothing(make):
+    rows = [(i, "w " * 19 + "w", "en", "big", 1) for i in range(100)] + [(1000, "w w", "en", "tiny", 1), (1001, "w", "en", None, 1)]
+    got = X.mix(make(rows), {"big": 1, "tiny": 1}).collect()
+    assert sum(r["source"] == "big" for r in got) == 79 and [r["doc_id"] for r in got if r["source"] == "tiny"] == [1000]
 
 
 def test_beyond_the_broadcast_limit(make, monkeypatch):
