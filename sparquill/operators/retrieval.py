@@ -1,7 +1,11 @@
 """Scoring and fusion of retrieval candidates. Tables: docs(doc_id, text), queries(query_id, query)."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +14,13 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import text as T
 
-#: Query tables are broadcast up to this many rows; beyond it Catalyst chooses the join.
+#: Query tables go to every task up to this many rows and characters (some 100 MB as postings); beyond either, Catalyst chooses a join.
 MAX_BROADCAST_QUERIES = 100_000
+MAX_QUERY_CHARS = 10_000_000
+#: Cells (texts x queries) that are scored at once.
+CELLS = 4_000_000
+_TOKENS = re.compile("[a-z0-9]+|[\u4e00-\u9fff]").findall
+_BLANKS = re.compile("[ \t\n\r\f\v]+")
 
 
 def small(df: DataFrame, limit: int = MAX_BROADCAST_QUERIES) -> DataFrame:
@@ -26,41 +35,188 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return t.select("query_id", "query", "n", "u", F.explode("all").alias("token")).groupBy("query_id", "query", "n", "u", "token").agg(F.count("*").alias("qtf"))
 
 
-def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, lexical) of every pair that shares a token.
-
-    A document's tokens meet the broadcast query terms where they are, so that only counts of
-    query terms shuffle. The phrase is looked for in documents with all tokens of a query alone.
-    """
-    terms = query_terms(queries)
+def _lexical_join(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """lexical_scores() for query tables of any size: tokens are counted in each document before they meet the terms."""
+    terms = query_terms(queries).drop("query")
     words = docs.select("doc_id", T.tokens(F.col("text")).alias("all")).select("doc_id", F.size("all").alias("c"), F.explode("all").alias("token"))
-    hits = words.join(small(terms), "token").groupBy("query_id", "doc_id", "token", "query", "n", "u", "c", "qtf").agg(F.count("*").alias("ctf"))
-    pairs = hits.groupBy("query_id", "doc_id", "query", "n", "u", "c").agg(F.count("*").alias("mt"), F.sum(F.least("qtf", "ctf")).alias("h"))
-    whole = pairs.where("mt = u").select("query_id", F.col("doc_id").alias("d"), "query")
+    counts = words.groupBy("doc_id", "c", "token").agg(F.count("*").alias("ctf"))
+    pairs = counts.join(terms, "token").groupBy("query_id", "doc_id", "n", "u", "c").agg(F.count("*").alias("mt"), F.sum(F.least("qtf", "ctf")).alias("h"))
+    whole = pairs.where("mt = u").select("query_id", F.col("doc_id").alias("d")).join(queries.select("query_id", T.normalized(F.col("query")).alias("query")), "query_id")
     phrase = whole.join(docs.select("doc_id", "text"), F.col("d") == F.col("doc_id")).where(F.contains(F.lower(T.collapsed(F.col("text"))), F.col("query"))).select("query_id", "doc_id", F.lit(0.2).alias("bonus"))
     score = 0.55 * F.col("mt") / F.col("u") + 0.3 * F.col("h") / F.col("n") + 0.15 * F.least(6 * F.col("h") / F.least("c", F.lit(300)), F.lit(1.0)) + F.coalesce("bonus", F.lit(0.0))
     return pairs.join(phrase, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.least(F.lit(1.0), score).alias("lexical"))
 
 
+class Terms:
+    """The terms of a bounded set of queries: postings (query, count) by term, and what a score needs of each query."""
+
+    def __init__(self, queries: list[str]):
+        tokens = [_TOKENS(q.lower()) for q in queries]
+        self.phrase = [_BLANKS.sub(" ", q).strip(" ").lower() for q in queries]
+        self.n = np.array([len(t) for t in tokens], np.float64)
+        self.u = np.array([len(set(t)) for t in tokens], np.int64)
+        self.term: dict[str, int] = {}
+        rows = sorted((self.term.setdefault(t, len(self.term)), q, f) for q, own in enumerate(tokens) for t, f in Counter(own).items())
+        at, self.query, self.count = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+        self.first = np.searchsorted(at, np.arange(len(self.term) + 1))
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, query, score) of the pairs that share a term."""
+        get, q = self.term.get, len(self.n)
+        lists = [_TOKENS(t.lower()) for t in texts]
+        c = np.array([len(x) for x in lists], np.float64)
+        found = [[i for t in x if (i := get(t)) is not None] for x in lists]
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        key, ctf = np.unique(doc * len(self.term) + np.fromiter((i for x in found for i in x), np.int64, len(doc)), return_counts=True)
+        doc, term = key // max(1, len(self.term)), key % max(1, len(self.term))
+        length = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(length)[:-1]]) if len(term) else term, length) + np.arange(length.sum())
+        pair = np.repeat(doc, length) * q + self.query[at]
+        mt = np.bincount(pair, minlength=len(texts) * q)
+        h = np.bincount(pair, weights=np.minimum(self.count[at], np.repeat(ctf, length)), minlength=len(texts) * q)
+        pair = np.flatnonzero(mt)
+        mt, h, d, q = mt[pair], h[pair], pair // q, pair % q
+        bonus = np.zeros(len(pair))
+        low: dict[int, str] = {}
+        for i in np.flatnonzero(mt == self.u[q]):
+            text = low.get(d[i]) or low.setdefault(d[i], _BLANKS.sub(" ", texts[d[i]]).lower())
+            bonus[i] = 0.2 if self.phrase[q[i]] in text else 0.0
+        score = 0.55 * mt / self.u[q] + 0.3 * h / self.n[q] + 0.15 * np.minimum(6 * h / np.minimum(c[d], 300), 1.0) + bonus
+        return d, q, np.minimum(1.0, score)
+
+
+def best(q: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of what can be among the k best of its query once scores are rounded to 6 places: ties stay."""
+    order = np.lexsort((-score, q))
+    first = np.searchsorted(q[order], q[order])
+    rank = np.arange(len(order)) - first
+    last = score[order][np.minimum(first + k - 1, len(order) - 1)]
+    return order[(rank < k) | ((q[order][np.minimum(first + k - 1, len(order) - 1)] == q[order]) & (score[order] >= last - 2e-6))]
+
+
+def _scored(docs: DataFrame, query_ids: list, kind: str, name: str, scores: Callable[[list[str]], tuple], k: int | None) -> DataFrame:
+    """(query_id, doc_id, score): scores() over batches of texts; with k, a task hands out what can be among its k best of a query."""
+    cells = max(1, len(query_ids))
+    rows, doc_kind = max(1, min(256, CELLS // cells)), docs.schema["doc_id"].dataType.simpleString()
+    ids = pa.array(query_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, doc_type = 0, None
+
+        def out(parts: list) -> pa.RecordBatch:
+            d, q, s = (np.concatenate(x) for x in zip(*parts))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(d.tolist(), doc_type), pa.array(s)], ["query_id", "doc_id", name])
+
+        def pruned(parts: list) -> list:
+            d, q, s = (np.concatenate(x) for x in zip(*parts))
+            at = best(q, s, k)
+            return [(d[at], q[at], s[at])]
+
+        for batch in batches:
+            doc_type = batch.schema.field(0).type
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                d, q, s = scores([t or "" for t in part.column(1).to_pylist()])
+                if not len(d):
+                    continue
+                held.append((own[d], q, s))
+                size += len(d)
+                if k is None and size > CELLS // 4:
+                    yield out(held)
+                    held, size = [], 0
+                elif k is not None and size > 4 * k * cells + CELLS // 4:
+                    held = pruned(held)
+                    size = len(held[0][0])
+        if held:
+            yield out(held if k is None else pruned(held))
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"query_id {kind}, doc_id {doc_kind}, `{name}` double")
+
+
+def small_queries(queries: DataFrame) -> tuple[list, list[str], str] | None:
+    """Ids and texts of a query table of at most MAX_BROADCAST_QUERIES rows and MAX_QUERY_CHARS characters, else None.
+
+    A null text is a query without tokens; of one id the least text counts.
+    """
+    rows, chars = queries.limit(MAX_BROADCAST_QUERIES + 1).agg(F.count("*"), F.sum(F.length("query"))).first()
+    if rows > MAX_BROADCAST_QUERIES or (chars or 0) > MAX_QUERY_CHARS:
+        return None
+    found = {r["query_id"]: r["query"] or "" for r in queries.select("query_id", "query").orderBy(F.desc("query")).collect()}
+    return list(found), list(found.values()), queries.schema["query_id"].dataType.simpleString()
+
+
+def lexical_scores(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, lexical) of every pair that shares a token; with k, at least all that can be among a query's k best.
+
+    A bounded set of queries goes to the documents as postings: a document is scored where it is, and with k only a task's
+    best shuffle. A larger set is joined on tokens that were counted in each document before.
+    """
+    small_set = small_queries(queries)
+    if small_set is None:
+        return _lexical_join(docs, queries)
+    ids, texts, kind = small_set
+    return _scored(docs, ids, kind, "lexical", Terms(texts).scores, k)
+
+
 def top_k(scored: DataFrame, k: int, score: str, by: str = "query_id", tie: str = "doc_id") -> DataFrame:
     """The k best rows of each query with their rank; ties by id."""
     order = Window.partitionBy(by).orderBy(F.desc(score), tie)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+@lru_cache(maxsize=1 << 17)
+def _hashed(token: str, dimension: int) -> tuple[int, int]:
+    """A token's bucket and sign."""
+    h = hashlib.sha256(token.encode()).digest()
+    return int.from_bytes(h[:4], "big") % dimension, 1 if h[4] % 2 == 0 else -1
+
+
+def bow_matrix(texts: list[str], dimension: int) -> np.ndarray:
+    """Signed-hash bag-of-words rows of length 1, or of zeros where the counts cancel out."""
+    out = np.zeros((len(texts), dimension))
+    for row, text in zip(out, texts):
+        counts = Counter(_TOKENS(text.lower()))
+        if counts:
+            at = np.array([_hashed(t, dimension) for t in counts])
+            np.add.at(row, at[:, 0], at[:, 1] * np.fromiter(counts.values(), np.int64, len(counts)))
+    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, size, out=out, where=size > 0)
+
+
 def hashed_bow(texts: DataFrame, id_col: str, text_col: str, dimension: int = 128) -> DataFrame:
     """(id, bucket, value): sparse signed-hash bag-of-words vectors of length 1; texts whose counts cancel out have no rows."""
-    words = texts.select(id_col, F.explode(T.tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
-    sums = words.groupBy(id_col, T.hash_bucket(F.col("token"), dimension).alias("bucket")).agg(F.sum(T.hash_sign(F.col("token")) * F.col("n")).alias("v")).where("v <> 0")
-    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(id_col)).cast("double"))
-    return sums.select(id_col, "bucket", (F.col("v") / length).alias("value"))
+    kind = texts.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
+            x = bow_matrix([t or "" for t in batch.column(1).to_pylist()], dimension)
+            row, bucket = np.nonzero(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(bucket), pa.array(x[row, bucket])], [id_col, "bucket", "value"])
 
-def bow_scores(docs: DataFrame, queries: DataFrame, dimension: int = 128) -> DataFrame:
-    """(query_id, doc_id, vector): cosines above 0 of hashed vectors, by a join on their buckets."""
-    d = hashed_bow(docs, "doc_id", "text", dimension)
-    q = hashed_bow(queries, "query_id", "query", dimension).withColumnRenamed("value", "qv")
-    return d.join(small(q), "bucket").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("value") * F.col("qv")), 9).alias("vector")).where("vector > 0")
+    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, bucket long, value double")
+
+
+def bow_scores(docs: DataFrame, queries: DataFrame, dimension: int = 128, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, vector): cosines above 0 of hashed vectors; with k, at least all that can be among a query's k best.
+
+    Bounded query sets go to the documents as one matrix; larger ones are joined on the buckets.
+    """
+    small_set = small_queries(queries)
+    if small_set is None:
+        d = hashed_bow(docs, "doc_id", "text", dimension)
+        q = hashed_bow(queries, "query_id", "query", dimension).withColumnRenamed("value", "qv")
+        return d.join(q, "bucket").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("value") * F.col("qv")), 9).alias("vector")).where("vector > 0")
+    ids, texts, kind = small_set
+    matrix = bow_matrix(texts, dimension).T
+
+    def scores(own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = bow_matrix(own, dimension) @ matrix
+        d, q = np.nonzero(s > 1e-9)
+        return d, q, s[d, q]
+
+    return _scored(docs, ids, kind, "vector", scores, k).withColumn("vector", F.round("vector", 9))
 
 
 def metadata_match(query_tokens: Column, metadata: Column) -> Column:

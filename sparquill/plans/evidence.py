@@ -16,7 +16,7 @@ def candidates(spark, sf_dir, k: int = 20) -> DataFrame:
     """(query_id, doc_id, source, lang, text, score, rank) of the k best documents a query."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = R.top_k(R.lexical_scores(d, q).withColumn("score", F.round("lexical", 6)), k, "score").select("query_id", "doc_id", "score", "rank")
+    found = R.top_k(R.lexical_scores(d, q, k).withColumn("score", F.round("lexical", 6)), k, "score").select("query_id", "doc_id", "score", "rank")
     return found.join(d, "doc_id")
 
 
@@ -28,35 +28,9 @@ def mmr_rerank(spark, sf_dir):
     return E.diverse(candidates(spark, sf_dir).select("query_id", "doc_id", "source", "text", "score"))
 
 
-def query_routing(spark, sf_dir):
-    """Mode, reason and confidence of every user turn, by ordered rules."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    t = F.lower(F.trim("text"))
-    n = F.size(F.split(t, " "))
-    technical = F.col("text").rlike("[A-Z]{2,}_[A-Z]+|[a-z]+_[a-z]+|/[a-z]+/|[0-9]+\\.[0-9]+|--[a-z]+")
-    rules = [(t.rlike("overview|summary|what is this about"), "overview", "overview_phrase", 0.9), (t.rlike("relation|between .* and |depends on"), "graph_vector_mix", "relation_phrase", 0.8), (technical, "hybrid_text", "exact_technical", 0.85), (n <= 3, "chunk_only", "weak", 0.4)]
-    pick = lambda k, other: F.coalesce(*(F.when(r[0], F.lit(r[k])) for r in rules), F.lit(other))
-    return c.select("conv_id", "turn", pick(1, "chunk_only").alias("mode"), pick(2, "default").alias("reason"), pick(3, 0.6).alias("confidence"))
-
-
-ROUTING = r"""WITH c AS (SELECT conv_id, turn, text, lower(trim(text, ' ')) AS t FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'overview|summary|what is this about') THEN 1 WHEN regexp_matches(t, 'relation|between .* and |depends on') THEN 2 WHEN regexp_matches(text, '[A-Z]{2,}_[A-Z]+|[a-z]+_[a-z]+|/[a-z]+/|[0-9]+\.[0-9]+|--[a-z]+') THEN 3 WHEN len(string_split(t, ' ')) <= 3 THEN 4 ELSE 5 END AS k FROM c)
-SELECT conv_id, turn, ['overview', 'graph_vector_mix', 'hybrid_text', 'chunk_only', 'chunk_only'][k] AS mode, ['overview_phrase', 'relation_phrase', 'exact_technical', 'weak', 'default'][k] AS reason, ([0.9, 0.8, 0.85, 0.4, 0.6]::DOUBLE[])[k] AS confidence FROM r"""
-
 _CAND = f"{_LEX}, cand AS (SELECT query_id, doc_id, source, lang, text, round(lexical, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, doc_id) AS rank FROM lexical JOIN documents USING (doc_id) QUALIFY rank <= 20)"
 
 
-def answer_policy_decisions(spark, sf_dir):
-    """Whether each query can be answered: reliable scores, and all of the five best ready to be cited (a known source, long enough)."""
-    c = candidates(spark, sf_dir).where("rank <= 5").withColumn("ready", F.length("text") >= 40)
-    p = c.groupBy("query_id").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.count_if("ready").alias("ready"))
-    reason = F.when(F.col("best") < 0.15, F.lit("unreliable_retrieval")).when(F.col("ready") == 0, F.lit("no_citation_ready")).when(F.col("ready") < F.col("n"), F.lit("partly_ready")).otherwise(F.lit("answer"))
-    return p.select("query_id", "best", "ready", reason.alias("reason"), (reason == "answer").alias("answerable"))
-
-
-POLICY = f"""WITH {_CAND}, best AS (SELECT query_id, max(score) AS best, count(*) AS n, count_if(length(text) >= 40)::BIGINT AS ready FROM cand WHERE rank <= 5 GROUP BY query_id),
-r AS (SELECT *, CASE WHEN best < 0.15 THEN 'unreliable_retrieval' WHEN ready = 0 THEN 'no_citation_ready' WHEN ready < n THEN 'partly_ready' ELSE 'answer' END AS reason FROM best) SELECT query_id, best, ready, reason, reason = 'answer' AS answerable FROM r"""
-
-
 def evidence_dedup(spark, sf_dir):
     """Candidates of one query with the same text keep the best provenance, in the first one's place."""
     c = candidates(spark, sf_dir).withColumn("key", F.sha2(T.normalized(F.col("text")), 256))
@@ -103,6 +77,6 @@ def _overview_sql() -> str:
 
 
 QUERIES = {
-    "context_packing": (context_packing, None), "mmr_rerank": (mmr_rerank, None), "query_routing": (query_routing, ROUTING), "answer_policy_decisions": (answer_policy_decisions, POLICY),
+    "context_packing": (context_packing, None), "mmr_rerank": (mmr_rerank, None), 
     "evidence_dedup": (evidence_dedup, EDEDUP), "citation_readiness_summary": (citation_readiness_summary, READINESS), "trace_items": (trace_items, TRACE), "overview_selection": (overview_selection, _overview_sql()),
 }

@@ -20,7 +20,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_topk(spark, sf_dir):
-    found = R.top_k(R.lexical_scores(_docs(spark, sf_dir), _queries(spark, sf_dir)).withColumn("lexical", F.round("lexical", 6)), 10, "lexical")
+    found = R.top_k(R.lexical_scores(_docs(spark, sf_dir), _queries(spark, sf_dir), 10).withColumn("lexical", F.round("lexical", 6)), 10, "lexical")
     return found.select("query_id", "doc_id", "lexical", "rank")
 
 
@@ -56,8 +56,8 @@ BOW_SQL = f"WITH {_bow('documents', 'doc_id', 'd')} SELECT id AS doc_id, bucket,
 
 def hybrid_fusion_topk(spark, sf_dir):
     docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
-    lexical = R.lexical_scores(docs, queries).withColumn("lexical", F.round("lexical", 6))
-    vector = R.bow_scores(docs, queries).withColumn("vector", F.round("vector", 6)).where("vector > 0")
+    lexical = R.lexical_scores(docs, queries, 32).withColumn("lexical", F.round("lexical", 6))
+    vector = R.bow_scores(docs, queries, k=32).withColumn("vector", F.round("vector", 6)).where("vector > 0")
     return R.fused(vector, lexical, 8).select("query_id", "doc_id", "score", "rank")
 
 
@@ -111,7 +111,7 @@ KEYWORD_SQL = f"WITH {_KEY} SELECT * FROM kt"
 def hybrid_text_merge(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     query = docs.sparkSession.createDataFrame([(0, "licensed under the apache license version 2.0")], "query_id int, query string")
-    hybrid = R.top_k(R.lexical_scores(docs, query).withColumn("score", F.round("lexical", 6)), 20, "score").select("doc_id", "score")
+    hybrid = R.top_k(R.lexical_scores(docs, query, 20).withColumn("score", F.round("lexical", 6)), 20, "score").select("doc_id", "score")
     return R.top_k(R.fused_text(hybrid, keyword_topk(spark, sf_dir), 20).withColumn("query_id", F.lit(0)), 20, "merged").select("doc_id", "merged", "rank")
 
 
@@ -126,7 +126,7 @@ SELECT *, row_number() OVER (ORDER BY merged DESC, doc_id)::INTEGER AS rank FROM
 
 def local_rule_rerank(spark, sf_dir):
     docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
-    found = R.top_k(R.lexical_scores(docs, queries).withColumn("lexical", F.round("lexical", 6)), 10, "lexical").select("query_id", "doc_id")
+    found = R.top_k(R.lexical_scores(docs, queries, 10).withColumn("lexical", F.round("lexical", 6)), 10, "lexical").select("query_id", "doc_id")
     full = found.join(queries, "query_id").join(docs, "doc_id")
     return R.top_k(R.rerank_scores(full), 5, "rerank").select("query_id", "doc_id", "rerank", "rank")
 
@@ -140,7 +140,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, doc_id)
 def retrieval_eval_metrics(spark, sf_dir):
     """Hit metrics of lexical retrieval: a document is relevant if it holds the passage; by toxicity label and over all."""
     docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
-    found = R.top_k(R.lexical_scores(docs, queries).withColumn("lexical", F.round("lexical", 6)), 8, "lexical")
+    found = R.top_k(R.lexical_scores(docs, queries, 8).withColumn("lexical", F.round("lexical", 6)), 8, "lexical")
     rows = found.join(docs, "doc_id").join(queries, "query_id").withColumn("hit", F.contains(T.normalized(F.col("text")), T.normalized(F.col("query"))))
     per = rows.groupBy("query_id").agg(F.bool_or("hit").alias("hit"), F.bool_or(F.col("hit") & (F.col("rank") == 1)).alias("top1"), F.bool_or(F.col("hit") & (F.col("rank") <= 3)).alias("top3"), F.avg(F.col("hit").cast("int")).alias("precision"), F.max("lexical").alias("best"))
     per = per.withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
