@@ -5,7 +5,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -219,90 +219,270 @@ def bow_scores(docs: DataFrame, queries: DataFrame, dimension: int = 128, k: int
     return _scored(docs, ids, kind, "vector", scores, k).withColumn("vector", F.round("vector", 9))
 
 
-def metadata_match(query_tokens: Column, metadata: Column) -> Column:
-    """Share of the query's tokens that the metadata has, times 0.7, and 0.25 if the metadata is in the query."""
-    own = F.array_distinct(T.tokens(metadata))
-    return F.least(F.lit(1.0), 0.7 * F.size(F.array_intersect(query_tokens, own)) / F.greatest(F.lit(1), F.size(query_tokens)) + F.when(F.size(F.array_except(own, query_tokens)) == 0, F.lit(0.25)).otherwise(F.lit(0.0)))
+def metadata_score(query: Column, title: Column, headings: Column, locator: Column, source_type: Column, page: Column) -> Column:
+    """Share of a query's different tokens that the metadata has, times 0.7; 0.25 for a title in the query or around it, 0.15 for a page that it names."""
+    own = F.array_distinct(T.tokens(query))
+    paged = F.when(page.isNotNull(), F.concat(F.lit("page "), page.cast("string")))
+    there = F.array_distinct(T.tokens(F.concat_ws(" ", title, F.array_join(headings, " "), locator, source_type, paged)))
+    low, small = T.normalized(query), T.normalized(F.coalesce(title, F.lit("")))
+    titled = (small != "") & (F.contains(low, small) | F.contains(small, low))
+    named = page.isNotNull() & (F.array_contains(own, page.cast("string")) | F.contains(low, paged))
+    score = 0.7 * F.size(F.array_intersect(own, there)) / F.greatest(F.size(own), F.lit(1)) + F.when(titled, 0.25).otherwise(0.0) + F.when(F.coalesce(named, F.lit(False)), 0.15).otherwise(0.0)
+    return F.when((F.size(own) > 0) & (F.size(there) > 0), F.least(F.lit(1.0), score)).otherwise(F.lit(0.0))
 
 
-def fused(vector: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
-    """The k best of both arms: 0.55 and 0.35 of the scores against each arm's best, 0.03 for indexed documents."""
+#: A table's metadata columns where it has none of them.
+NO_METADATA = {"title": "string", "headings": "array<string>", "locator": "string", "source_type": "string", "page": "int"}
+
+
+def with_metadata(rows: DataFrame) -> DataFrame:
+    """rows with every metadata column, null where there was none."""
+    return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in NO_METADATA.items() if c not in rows.columns})
+
+
+def fused(vector: DataFrame, lexical: DataFrame, k: int, queries: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """The k best of both arms: 0.55 and 0.35 of the scores against each arm's best, 0.1 of metadata_score(), 0.03 for indexed documents.
+
+    metadata: (doc_id and some of NO_METADATA); only the arms' candidates, a few a query, meet it.
+    """
     limit = max(4 * k, 12)
     v = top_k(vector, limit, "vector").drop("rank")
     x = top_k(lexical, limit, "lexical").drop("rank")
     both = v.join(x, ["query_id", "doc_id"], "full_outer")
+    if queries is not None and metadata is not None:
+        both = both.join(small(queries.select("query_id", "query")), "query_id").join(with_metadata(metadata), "doc_id")
+        both = both.withColumn("metadata", metadata_score(*(F.col(c) for c in ("query", *NO_METADATA)))).drop("query", *NO_METADATA)
+    else:
+        both = both.withColumn("metadata", F.lit(0.0))
     w = Window.partitionBy("query_id")
-    score = 0.55 * F.coalesce(F.col("vector") / F.max("vector").over(w), F.lit(0.0)) + 0.35 * F.coalesce(F.col("lexical") / F.max("lexical").over(w), F.lit(0.0))
+    score = 0.55 * F.coalesce(F.col("vector") / F.max("vector").over(w), F.lit(0.0)) + 0.35 * F.coalesce(F.col("lexical") / F.max("lexical").over(w), F.lit(0.0)) + 0.1 * F.col("metadata")
     both = both.withColumn("score", F.round(F.least(F.lit(1.0), score + F.when(F.col("vector").isNotNull(), F.lit(0.03)).otherwise(F.lit(0.0))), 6))
     return top_k(both.where("score > 0"), k, "score").select("query_id", "doc_id", F.coalesce("vector", "score").alias("raw_vector"), "score", "rank")
 
 
-def keyword_scores(docs: DataFrame, terms: list[str], phrase: str) -> DataFrame:
-    """(doc_id, keyword, matched): substring matches of terms, 0.25 for the phrase and 0.05 a technical term."""
-    low = F.lower(F.col("text"))
-    listed = F.array(*(F.lit(t) for t in terms))
-    matched = docs.select("doc_id", F.filter(listed, lambda t: F.contains(low, F.lower(t))).alias("matched"), F.contains(T.normalized(F.col("text")), F.lit(phrase)).alias("phrase"))
-    technical = F.size(F.filter("matched", lambda t: t.rlike("[0-9_./-]")))
-    score = F.size("matched") / len(terms) + F.when(F.col("phrase"), 0.25).otherwise(0.0) + F.least(F.lit(0.25), 0.05 * technical)
-    return matched.select("doc_id", F.round(F.least(F.lit(1.5), score), 6).alias("keyword"), F.size("matched").alias("matched"))
+class Keywords:
+    """Terms and phrases of a bounded set of queries in one automaton: a text is read once, whatever their number."""
+
+    def __init__(self, phrases: list[str], terms: list[list[str]]):
+        import ahocorasick
+
+        self.number: dict[str, int] = {}
+        rows = [(self.number.setdefault(t, len(self.number)), q) for q, own in enumerate(terms) for t in own]
+        rows += [(self.number.setdefault(p, len(self.number)), q) for q, p in enumerate(phrases) if p]
+        n = len(self.number)
+        kinds = np.repeat([0, 1], [sum(map(len, terms)), len(rows) - sum(map(len, terms))])
+        order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+        self.word, self.query, self.kind = (np.array([x[i] for i in order], np.int64) for x in ([r[0] for r in rows], [r[1] for r in rows], kinds))
+        self.first = np.searchsorted(self.word, np.arange(n + 1))
+        self.technical = np.array([any(c in "_-/.{}" or c.isdigit() for c in t) for t in self.number], bool)
+        self.sizes = np.array([len(t) for t in terms], np.float64)
+        self.automaton = ahocorasick.Automaton()
+        for t, i in self.number.items():
+            self.automaton.add_word(t, i)
+        if n:
+            self.automaton.make_automaton()
+
+    def _postings(self, found: list[int]) -> np.ndarray:
+        at = np.fromiter(found, np.int64, len(found))
+        length = self.first[at + 1] - self.first[at]
+        return np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(at) else at
+
+    def score(self, text: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, matched terms) of the queries that share a term with a normalised text."""
+        queries = len(self.sizes)
+        found = list({i for _, i in self.automaton.iter(text)}) if self.number else []
+        at = self._postings(found)
+        term, phrase = at[self.kind[at] == 0], at[self.kind[at] == 1]
+        matched = np.bincount(self.query[term], minlength=queries)
+        technical = np.bincount(self.query[term], weights=self.technical[self.word[term]], minlength=queries)
+        bonus = np.zeros(queries)
+        bonus[self.query[phrase]] = 0.25
+        if name and found:
+            named = self._postings(list({i for _, i in self.automaton.iter(name)}))
+            bonus[np.unique(self.query[named[self.kind[named] == 0]])] += 0.2
+        q = np.flatnonzero(matched)
+        return q, np.minimum(1.5, matched[q] / self.sizes[q] + bonus[q] + np.minimum(0.25, 0.05 * technical[q])), matched[q]
+
+
+def keyword_scores(docs: DataFrame, queries: DataFrame, k: int | None = None, least: float = 0.05) -> DataFrame:
+    """(query_id, doc_id, keyword, matched) by substring matches of each query's expanded terms in text, name and metadata.
+
+    docs: doc_id, text and, where there are any, name and metadata. A query's phrase counts 0.25, a term in the name 0.2,
+    technical terms 0.05 each. Of more queries than fit in a task's memory, blocks are matched one after another.
+    """
+    from sparquill.functions import questions as Q
+
+    n, chars = queries.agg(F.count("*"), F.sum(F.length("query"))).first()
+    blocks = -(-n // MAX_BROADCAST_QUERIES) + (chars or 0) // MAX_QUERY_CHARS
+    if blocks > 1:
+        at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        return reduce(DataFrame.unionAll, (keyword_scores(docs, queries.where(at == i), k, least) for i in range(blocks)))
+    made = [r for r in queries.select("query_id", T.normalized(F.col("query")).alias("phrase"), Q.terms(F.col("query")).alias("terms")).collect() if r["terms"]]
+    ids, kind, doc_kind = pa.array([r["query_id"] for r in made]), queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    phrases, terms = [r["phrase"] for r in made], [list(r["terms"]) for r in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = Keywords(phrases, terms), [], 0
+        for batch in batches:
+            doc_type = batch.schema.field(0).type
+
+            def out(parts: list, doc_type=doc_type) -> pa.RecordBatch:
+                d, q, s, m = (np.concatenate(x) for x in zip(*parts))
+                at = best(q, s, k) if k is not None else np.arange(len(q))
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(q[at])), pa.array(d[at].tolist(), doc_type), pa.array(s[at]), pa.array(m[at].astype(np.int32))], ["query_id", "doc_id", "keyword", "matched"])
+
+            for doc, text, name in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                q, s, m = words.score(text, name)
+                some = s >= least - 1e-9
+                held.append((np.full(some.sum(), doc), q[some], s[some], m[some]))
+                size += some.sum()
+                if size > CELLS // 8:
+                    yield out(held)
+                    held, size = [], 0
+        if size:
+            yield out(held)
+
+    part = lambda c: T.normalized(F.coalesce(F.col(c), F.lit(""))) if c in docs.columns else F.lit("")
+    searchable = F.array_join(F.filter(F.array(part("text"), part("name"), part("metadata")), lambda x: x != ""), " ")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", searchable.alias("s"), part("name").alias("name"))
+    found = rows.mapInArrow(run, f"query_id {kind}, doc_id {doc_kind}, keyword double, matched int")
+    return found.withColumn("keyword", F.round("keyword", 6)).where(F.col("keyword") >= least)
 
 
 def fused_text(hybrid: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
-    """Both arms: 0.7 and 0.3 of the scores against each arm's best where both have a document, else the score itself."""
-    w = Window.partitionBy()
-    h = hybrid.withColumn("h", F.col("score") / F.max("score").over(w))
-    y = keyword.withColumn("y", F.col("keyword") / F.max("keyword").over(w))
-    both = h.join(y, "doc_id", "full_outer")
-    merged = F.when(F.col("h").isNotNull() & F.col("y").isNotNull(), 0.7 * F.col("h") + 0.3 * F.col("y")).otherwise(F.coalesce("score", "keyword"))
-    return both.select("doc_id", F.round(merged, 6).alias("merged"))
+    """(query_id, doc_id, merged, sources, rank) of both arms: 0.7 and 0.3 of the scores against each arm's best where both have a document, else the score itself.
+
+    hybrid: (query_id, doc_id, raw_vector); keyword: (query_id, doc_id, keyword). Arms' best are those of the query.
+    """
+    w = Window.partitionBy("query_id")
+    both = hybrid.select("query_id", "doc_id", "raw_vector").join(keyword.select("query_id", "doc_id", "keyword"), ["query_id", "doc_id"], "full_outer")
+    both = both.withColumn("h", F.col("raw_vector") / F.max("raw_vector").over(w)).withColumn("y", F.col("keyword") / F.max("keyword").over(w))
+    merged = F.when(F.col("h").isNotNull() & F.col("y").isNotNull(), 0.7 * F.least(F.lit(1.0), "h") + 0.3 * F.least(F.lit(1.0), "y")).otherwise(F.coalesce("keyword", "raw_vector"))
+    sources = F.concat_ws("+", F.when(F.col("raw_vector").isNotNull(), F.lit("vector")), F.when(F.col("keyword").isNotNull(), F.lit("keyword")))
+    return top_k(both.select("query_id", "doc_id", F.round(merged, 6).alias("merged"), sources.alias("sources")), k, "merged")
 
 
 def rerank_scores(candidates: DataFrame) -> DataFrame:
-    """Rule-based reranking of (query_id, query, doc_id, text): phrase, token overlap and clipped counts."""
+    """Rule-based reranking of (query_id, query, doc_id, text): phrase, token overlap, clipped counts, and tokens in ``metadata`` if there is such a column."""
     q, d = T.tokens(F.col("query")), T.tokens(F.col("text"))
-    rows = candidates.select("query_id", "doc_id", q.alias("q"), d.alias("d"), F.contains(T.normalized(F.col("text")), T.normalized(F.col("query"))).alias("phrase"))
+    meta = T.tokens(F.col("metadata")) if "metadata" in candidates.columns else F.array().cast("array<string>")
+    rows = candidates.select("query_id", "doc_id", q.alias("q"), d.alias("d"), meta.alias("m"), F.contains(T.normalized(F.col("text")), T.normalized(F.col("query"))).alias("phrase"))
     u = F.array_distinct("q")
     count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
     clipped = F.aggregate(F.transform(F.array_intersect("q", "d"), lambda t: F.least(count(F.col("q"), t), count(F.col("d"), t))), F.lit(0), lambda s, x: s + x)
-    score = F.when(F.col("phrase"), 0.35).otherwise(0.0) + 0.45 * F.size(F.array_intersect("q", "d")) / F.greatest(F.lit(1), F.size(u)) + 0.15 * clipped / F.greatest(F.lit(1), F.size("q"))
+    n = F.greatest(F.lit(1), F.size(u))
+    score = F.when(F.col("phrase"), 0.35).otherwise(0.0) + 0.45 * F.size(F.array_intersect("q", "d")) / n + 0.15 * clipped / F.greatest(F.lit(1), F.size("q")) + 0.05 * F.size(F.array_intersect("q", F.coalesce("m", F.array().cast("array<string>")))) / n
     return rows.select("query_id", "doc_id", F.round(F.least(F.lit(1.0), score), 6).alias("rerank"))
 
 
-#: Vectors in a block of the all-pairs search.
-BLOCK = 1024
+def prepared_rerank(candidates: DataFrame) -> DataFrame:
+    """(query_id, doc_id, coverage, quality, section_match, rerank) of (query_id, query, doc_id, text, score) with metadata columns: what diversity selection starts from."""
+    rows = with_metadata(candidates)
+    q, d = F.array_distinct(T.tokens(F.col("query"))), F.array_distinct(T.tokens(F.col("text")))
+    rows = rows.withColumn("q", q).withColumn("d", d).withColumn("n", F.greatest(F.lit(1), F.size("q")))
+    both = F.size(F.array_intersect("q", "d"))
+    coverage = F.when(F.size("d") > 0, F.least(F.lit(1.0), 0.8 * both / F.col("n") + 0.2 * F.least(8 * both / F.least(F.size("d"), F.lit(200)), F.lit(1.0)))).otherwise(F.lit(0.0))
+    paged = F.when(F.col("page").isNotNull(), F.concat(F.lit("page "), F.col("page").cast("string")))
+    meta = F.array_distinct(T.tokens(F.concat_ws(" ", "title", F.array_join("headings", " "), "locator", paged, "source_type")))
+    head = F.concat_ws(" ", "title", F.array_join("headings", " "))
+    section = F.when(F.trim(head) == "", F.lit(0.0)).when(F.contains(T.normalized(head), T.normalized(F.col("query"))), F.lit(1.0)).otherwise(F.size(F.array_intersect("q", T.tokens(head))) / F.col("n"))
+    rows = rows.withColumn("coverage", coverage).withColumn("quality", F.size(F.array_intersect("q", meta)) / F.col("n")).withColumn("section_match", section)
+    score = F.least(F.lit(1.0), 0.6 * F.col("score") + 0.2 * F.col("coverage") + 0.12 * F.col("quality") + 0.08 * F.col("section_match"))
+    return rows.select("query_id", "doc_id", *(F.round(c, 6).alias(c) for c in ("coverage", "quality", "section_match")), F.round(score, 6).alias("rerank"))
+
+
+STRONG, WEAK = "。！？；.!?;", "，,、：:"
+
+
+def boundary(text: Column, limit: Column) -> Column:
+    """Where a collapsed text is best cut before limit: after its last strong mark, else weak mark, in the second half; else at the last blank of the last third; else null."""
+    head = F.substr(text, F.lit(1), limit)
+    last = lambda marks: F.length(F.regexp_extract(head, f"(?s)^(.*[{marks}])", 1))
+    half, third = F.greatest(F.lit(1), F.floor(limit / 2)), F.greatest(F.lit(1), F.floor(limit * 2 / 3))
+    blank = F.length(F.regexp_extract(head, "(?s)^(.*) ", 1))
+    return F.when(last(STRONG) > half, last(STRONG)).when(last(WEAK) > half, last(WEAK)).when(blank >= third, blank)
+
+
+def snippet(rows: DataFrame, text: str = "text", most: int = 260, out: str = "snippet") -> DataFrame:
+    """rows with the start of their text, cut at a boundary near ``most`` characters."""
+    rows = rows.withColumn("_t", F.trim(T.collapsed(F.col(text)))).withColumn("_b", boundary(F.col("_t"), F.least(F.length("_t"), F.lit(most + max(40, most // 3)))))
+    cut = F.regexp_replace(F.substr("_t", F.lit(1), F.col("_b")), f"[ {WEAK}]+$", "")
+    short = F.when(F.length("_t") <= most, F.col("_t")).when(F.col("_b").isNull(), F.concat(F.rtrim(F.substring("_t", 1, most - 3)), F.lit("..."))).when(F.length(cut) == F.length("_t"), cut).otherwise(F.concat(cut, F.lit("...")))
+    return rows.withColumn(out, short).drop("_t", "_b")
+
+
+def query_snippet(rows: DataFrame, most: int = 260, out: str = "snippet") -> DataFrame:
+    """rows of (query, text) with the part of the text around the query, or around its first token that occurs, between boundaries."""
+    back, over = 80, max(40, most // 3)
+    rows = snippet(rows, "text", most, "_start")
+    rows = rows.withColumn("_t", F.trim(T.collapsed(F.col("text")))).withColumn("_l", F.lower("_t")).withColumn("_n", F.length("_t"))
+    phrase = F.instr("_l", T.normalized(F.col("query"))) - 1
+    places = F.filter(F.transform(F.array_distinct(T.tokens(F.col("query"))), lambda t: F.instr(F.col("_l"), t) - 1), lambda p: p >= 0)
+    rows = rows.withColumn("_a", F.when((T.normalized(F.col("query")) != "") & (phrase >= 0), phrase).otherwise(F.get(places, F.lit(0))))
+    first = F.greatest(F.lit(0), F.col("_a") - most // 3)
+    rows = rows.withColumn("_e", F.least(F.col("_n"), first + most)).withColumn("_s", F.when(F.col("_e") - first < most, F.greatest(F.lit(0), F.col("_e") - most)).otherwise(first))
+    before = F.substr("_t", F.greatest(F.lit(0), F.col("_s") - back) + 1, F.least(F.col("_s"), F.lit(back)))
+    snapped = F.length(F.regexp_extract(before, f"(?s)^(.*[{STRONG}{WEAK}])", 1))
+    rows = rows.withColumn("_s2", F.when(snapped > 0, F.greatest(F.lit(0), F.col("_s") - back) + snapped).otherwise(F.col("_s")))
+    rows = rows.withColumn("_w", F.trim(F.substr("_t", F.col("_s2") + 1, F.least(F.col("_n"), F.col("_e") + over) - F.col("_s2"))))
+    rows = rows.withColumn("_b", boundary(F.col("_w"), F.least(F.length("_w"), F.greatest(F.least(F.col("_n"), F.col("_e") + over) - F.col("_s2"), F.col("_e") - F.col("_s2")))))
+    rows = rows.withColumn("_e2", F.when(F.col("_b").isNotNull(), F.col("_s2") + F.col("_b")).otherwise(F.col("_e")))
+    body = F.trim(F.substr("_t", F.col("_s2") + 1, F.col("_e2") - F.col("_s2")))
+    around = F.concat(F.when(F.col("_s2") > 0, F.lit("...")).otherwise(F.lit("")), body, F.when(F.col("_e2") < F.col("_n"), F.lit("...")).otherwise(F.lit("")))
+    made = F.when(F.col("_n") <= most, F.col("_t")).when(F.col("_a").isNull(), F.col("_start")).otherwise(around)
+    return rows.withColumn(out, made).drop("_start", "_t", "_l", "_n", "_a", "_e", "_s", "_s2", "_w", "_b", "_e2")
+
+
+#: Queries of a vector search that go to every task at once, some 50 MB; more are searched in blocks.
+QUERY_BYTES = 1 << 26
+
+
+def vector_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): for every row of queries (same columns) its k nearest other rows of vectors of a cosine above 0; ties by id.
+
+    Exact search in one pass: the queries' matrix goes to the vectors, each task keeps its k best of a query and only those
+    shuffle. Null and empty vectors, null ids and vectors of another length than the query's have no neighbours.
+    """
+    clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
+    asked = clean(queries)
+    n, dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n * 8 * (dim or 1) // QUERY_BYTES))
+    parts = (asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect() for i in range(blocks))
+    found = [clean(vectors).mapInArrow(_nearest(np.array([r["id"] for r in rows], np.int64), [r["v"] for r in rows], k), "query_id long, vec_id long, score double") for rows in parts]
+    return top_k(reduce(DataFrame.unionAll, found).withColumn("score", F.round("score", 6)).where("score > 0"), k, "score", tie="vec_id")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of unit vectors: their ids and their matrix, row by row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy()
-        x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        for i in range(0, len(ids), BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i : i + BLOCK].tobytes()]), pa.array([x[i : i + BLOCK].tobytes()])], ["ids", "x"])
+def _unit(rows: list) -> np.ndarray:
+    x = np.asarray(rows, np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def vector_neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): for every vector its k nearest others of a cosine above 0; ties by id.
+def _nearest(ids: np.ndarray, rows: list, k: int):
+    groups = {d: np.flatnonzero([len(r) == d for r in rows]) for d in {len(r) for r in rows}}
+    sides = {d: (at, _unit([rows[i] for i in at])) for d, at in groups.items()}
 
-    Exact search: blocks of vectors meet in a cross join, each pair of blocks is one matrix product
-    and keeps k rows a query, and a window keeps the best of all blocks.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            own, vectors = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for d, (at, side) in sides.items():
+                same = np.flatnonzero([len(v) == d for v in vectors])
+                if not len(same):
+                    continue
+                s = side @ _unit([vectors[i] for i in same]).T
+                s[ids[at][:, None] == own[same][None, :]] = -2
+                # The k-th best of each query here, and all that reach it: ties are settled by id later.
+                least = np.maximum(np.partition(s, max(0, len(same) - k), axis=1)[:, max(0, len(same) - k)] - 2e-6, 1e-12)
+                q, j = np.nonzero(s >= least[:, None])
+                held.append((at[q], own[same][j], s[q, j]))
+                size += len(q)
+            if size > 8 * k * max(1, len(ids)) + CELLS // 8:
+                q, v, s = (np.concatenate(x) for x in zip(*held))
+                keep = best(q, s, k)
+                held, size = [(q[keep], v[keep], s[keep])], len(keep)
+        if held:
+            q, v, s = (np.concatenate(x) for x in zip(*held))
+            keep = best(q, s, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(v[keep]), pa.array(s[keep])], ["query_id", "vec_id", "score"])
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, qx, di, dx in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                q, d = np.frombuffer(qi, np.int64), np.frombuffer(di, np.int64)
-                s = np.round(np.frombuffer(qx, np.float64).reshape(len(q), -1) @ np.frombuffer(dx, np.float64).reshape(len(d), -1).T, 6)
-                s[q[:, None] == d[None, :]] = -2
-                # The k-th best score of each row, and all that reach it: ties are settled by id later.
-                least = np.maximum(np.partition(s, max(0, len(d) - k), axis=1)[:, max(0, len(d) - k)], 1e-12)
-                row, col = np.nonzero(s >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(d[col]), pa.array(s[row, col])], ["query_id", "vec_id", "score"])
-
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND size(v) > 0")
-    blocks = rows.mapInArrow(_blocks, "ids binary, x binary")
-    pairs = blocks.crossJoin(blocks.select(F.col("ids").alias("ids2"), F.col("x").alias("x2")))
-    return top_k(pairs.mapInArrow(nearest, "query_id long, vec_id long, score double"), k, "score", tie="vec_id")
+    return run
