@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from sparquill.functions import text as T
 from sparquill.operators import evidence as E
 from sparquill.operators import retrieval as R
-from sparquill.plans.graph import _R as GRAPH_CTES
+from sparquill.operators.units import question_features, text_features
+from sparquill.plans import answers_sql as SQL
+from sparquill.plans.graph import _M as GRAPH_M
 from sparquill.plans.graph import mentions
-from sparquill.plans.retrieval import _LEX, TOK, hybrid_fusion_topk, lexical_topk
+from sparquill.plans.retrieval import _LEX, hybrid_fusion_topk, lexical_topk
 from sparquill.sources import table
 
 
@@ -40,29 +42,33 @@ SELECT doc_id, line::INTEGER AS line, other::INTEGER AS other FROM p WHERE t1 =
 
 
 def turn_relevance(spark, sf_dir):
-    """Share of each user turn's tokens that the next turn of the conversation has."""
+    """Share of each user turn's features, words and pairs of CJK characters, that the next turn of the conversation has."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_distinct(T.tokens(F.col("text"))).alias("q"), F.array_distinct(T.tokens(F.lead("text").over(w))).alias("a"))
-    return c.where("role = 'user' AND a IS NOT NULL AND size(q) > 0").select("conv_id", "turn", F.round(F.size(F.array_intersect("q", "a")) / F.size("q"), 6).alias("relevance"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", question_features(F.col("text")).alias("q"), text_features(F.lead("text").over(w)).alias("a"), F.lead("text").over(w).alias("n"))
+    return c.where("role = 'user' AND n IS NOT NULL AND size(q) > 0").select("conv_id", "turn", F.round(F.size(F.array_intersect("q", "a")) / F.size("q"), 6).alias("relevance"))
 
 
-RELEVANCE = f"""WITH c AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), t AS (SELECT conv_id, turn, list_distinct({TOK.format(x='text')}) AS q, list_distinct({TOK.format(x='nxt')}) AS a FROM c WHERE role = 'user' AND nxt IS NOT NULL)
+RELEVANCE = f"""WITH c AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), t AS (SELECT conv_id, turn, {SQL.features('text')} AS q, {SQL.features('nxt')} AS a FROM c WHERE role = 'user' AND nxt IS NOT NULL)
 SELECT conv_id, turn, round(len(list_intersect(q, a))::DOUBLE / len(q), 6) AS relevance FROM t WHERE len(q) > 0"""
 
 
 def graph_vector_merge(spark, sf_dir):
-    """Documents by the better of their lexical score and 0.3 for an entity of the query's best document."""
+    """Documents by the better of their lexical score and the graph's: 1 for one that mentions an entity of the passage's best document that few do."""
     lex = lexical_topk(spark, sf_dir).select("query_id", "doc_id", "lexical", "rank")
-    m = mentions(table(spark, sf_dir, "documents")).where("confidence > 0.8").select("doc_id", "name")
-    names = lex.where("rank = 1").join(m, "doc_id").select("query_id", "name")
-    graph = names.join(m, "name").groupBy("query_id", "doc_id").agg(F.lit(0.3).alias("score"))
+    m = mentions(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "name")
+    rare = m.groupBy("name").agg(F.count("*").alias("n")).where("n <= 5")
+    names = lex.where("rank = 1").join(m, "doc_id").join(rare, "name").select("query_id", "name")
+    graph = names.join(m, "name").groupBy("query_id", "doc_id").agg(F.lit(1.0).alias("score"))
     both = lex.select("query_id", "doc_id", F.col("lexical").alias("score")).unionByName(graph).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.count("*").alias("arms"))
     return R.top_k(both, 15, "score").select("query_id", "doc_id", "score", "arms", "rank")
 
 
-GVM = f"""WITH {_LEX}, lx AS (SELECT query_id, doc_id, round(lexical, 6) AS lexical, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, doc_id) AS rank FROM lexical QUALIFY rank <= 10), {GRAPH_CTES.replace("e AS (", "ge AS (", 1).replace("FROM e)", "FROM ge)").replace("x AS (SELECT doc_id, unnest", "gx AS (SELECT doc_id, unnest").replace("FROM x GROUP", "FROM gx GROUP").replace(" g AS (", " gg AS (").replace(chr(10) + "g AS (", chr(10) + "gg AS (").replace("FROM g)", "FROM gg)")},
-ms AS (SELECT doc_id, name FROM m WHERE confidence > 0.8), nm AS (SELECT query_id, name FROM lx JOIN ms USING (doc_id) WHERE rank = 1),
-gr AS (SELECT DISTINCT query_id, doc_id, 0.3::DOUBLE AS score FROM nm JOIN ms USING (name)), un AS (SELECT query_id, doc_id, lexical AS score FROM lx UNION ALL SELECT * FROM gr),
+_DOC_MENTIONS = GRAPH_M.replace("UNION ALL SELECT unit_id + 1000000000000, unit FROM units", "")
+for _old, _new in (("e AS (SELECT doc_id, list_concat", "ge AS (SELECT doc_id, list_concat"), ("FROM e)", "FROM ge)"), ("x AS (SELECT doc_id, unnest", "gx AS (SELECT doc_id, unnest"), ("FROM x GROUP", "FROM gx GROUP"), ("\ng AS (", "\ngg AS ("), ("FROM g)", "FROM gg)")):
+    _DOC_MENTIONS = _DOC_MENTIONS.replace(_old, _new)
+GVM = f"""WITH {_LEX}, lx AS (SELECT query_id, doc_id, round(lexical, 6) AS lexical, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, doc_id) AS rank FROM lexical QUALIFY rank <= 10), {_DOC_MENTIONS},
+rare AS (SELECT name FROM m GROUP BY name HAVING count(*) <= 5), nm AS (SELECT query_id, name FROM lx JOIN m USING (doc_id) JOIN rare USING (name) WHERE rank = 1),
+gr AS (SELECT DISTINCT query_id, doc_id, 1.0::DOUBLE AS score FROM nm JOIN m USING (name)), un AS (SELECT query_id, doc_id, lexical AS score FROM lx UNION ALL SELECT * FROM gr),
 ag AS (SELECT query_id, doc_id, max(score) AS score, count(*) AS arms FROM un GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM ag QUALIFY rank <= 15"""
 
 

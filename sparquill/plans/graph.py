@@ -1,69 +1,183 @@
 """Entity graph: mentions in documents, co-occurrence relations, maintenance and browsing; the parts table as a second graph."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparquill.functions import text as T
+from sparquill.plans import kb
 from sparquill.sources import table
 
-DICTIONARY = ["Apache License", "MIT License", "GNU General Public License", "CC BY-NC", "idiot", "clown", "token", "pathetic", "worthless", "moron"]
-STOP = ["The", "And", "Licensed", "Released", "This"]
-CAPS = "[A-Z][a-z]{11,}"
+#: Terms that are entities wherever they occur, with their types; then capitalised words of three characters or more.
+DICTIONARY = [
+    ("用户", "role"), ("团队", "domain"), ("知识库", "domain"), ("管理员", "role"), ("普通成员", "role"), ("成员", "role"), ("文档", "document"), ("文件", "document"), ("审核", "workflow"), ("删除", "action"), ("上传", "action"), ("索引", "index"), ("检索", "retrieval"), ("引用", "citation"),
+    ("chunk", "retrieval"), ("embedding", "model"), ("reranker", "model"), ("citation", "citation"), ("worker", "component"), ("Redis", "component"), ("PostgreSQL", "component"), ("FastAPI", "component"), ("GraphRAG", "retrieval"), ("LightRAG", "retrieval"),
+]
+STOP = ["the", "and", "for", "with"]
+CAPS = r"\b[A-Z][A-Za-z0-9_+-]{2,}\b"
+#: Ids of handbook units among the graph's sources, above those of documents.
+UNIT_BASE = 1_000_000_000_000
+
+
+def sources(spark, sf_dir) -> DataFrame:
+    """(doc_id, text): the documents, and the handbooks' units under ids of their own."""
+    units = kb.units(spark, sf_dir).select((F.col("unit_id") + UNIT_BASE).alias("doc_id"), F.col("unit").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(units)
+
+
+_SOURCES = f"{kb.SUPPLIERS}, {kb.UNITS_SQL}, src AS (SELECT doc_id, text FROM documents UNION ALL SELECT unit_id + {UNIT_BASE}, unit FROM units)"
+
+
+def spellings(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, label): the capitalised words of each text in order."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit("(?U)" + CAPS), F.lit(0))), lambda t: ~F.lower(t).isin(STOP))
+    return docs.select("doc_id", F.posexplode(words).alias("pos", "label"))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, confidence, pos): dictionary terms found as substrings (0.9) and long capitalised words (0.6), the best of each name, in order."""
+    """(doc_id, name, type, confidence, pos): the entities of each text in order of their first place, dictionary terms (0.9) before capitalised words (0.6).
+
+    A text's names are settled inside its row, so that nothing shuffles. Type and certainty follow from the name, as
+    every spelling of a dictionary term is one.
+    """
     low = F.lower(F.col("text"))
-    terms = F.transform(F.filter(F.array(*map(F.lit, DICTIONARY)), lambda t: F.contains(low, F.lower(t))), lambda t: F.struct(F.lower(t).alias("name"), F.lit(0.9).alias("confidence")))
-    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(CAPS), F.lit(0))), lambda t: ~t.isin(STOP))
-    caps = F.transform(words, lambda t: F.struct(F.lower(t).alias("name"), F.lit(0.6).alias("confidence")))
-    return docs.select("doc_id", F.posexplode(F.concat(terms, caps)).alias("p", "e")).groupBy("doc_id", "e.name").agg(F.max("e.confidence").alias("confidence"), F.min("p").alias("p")).select("doc_id", "name", "confidence", (F.row_number().over(W.partitionBy("doc_id").orderBy("p", "name")) - 1).alias("pos"))
+    terms = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t.lower())), F.lit(t.lower())) for t, _ in DICTIONARY)))
+    caps = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("(?U)" + CAPS), F.lit(0))), lambda t: F.lower(t))
+    names = F.array_distinct(F.concat(terms, F.filter(caps, lambda t: ~t.isin(STOP))))
+    kinds = F.create_map(*(x for t, kind in DICTIONARY for x in (F.lit(t.lower()), F.lit(kind))))
+    rows = docs.select("doc_id", F.posexplode(names).alias("pos", "name")).withColumn("kind", F.element_at(kinds, F.col("name")))
+    return rows.select("doc_id", "name", F.coalesce("kind", F.lit("technical_term")).alias("type"), F.when(F.col("kind").isNotNull(), 0.9).otherwise(0.6).alias("confidence"), "pos")
+
+
+_TERMS = ", ".join(f"CASE WHEN contains(lower(text), {t.lower()!r}) THEN {{'name': {t.lower()!r}, 'label': {t!r}, 'type': {kind!r}, 'confidence': 0.9::DOUBLE}} END" for t, kind in DICTIONARY)
+_M = rf"""{_SOURCES}, e AS (SELECT doc_id, list_concat(list_filter([{_TERMS}], lambda x: x IS NOT NULL),
+  list_transform(list_filter(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_]*[\x{{c0}}-\x{{24f}}][A-Za-z0-9_\x{{c0}}-\x{{24f}}]*', '', 'g'), '{CAPS}'), lambda t: lower(t) NOT IN ({', '.join(map(repr, STOP))})), lambda t: {{'name': lower(t), 'label': t, 'type': 'technical_term', 'confidence': 0.6::DOUBLE}})) AS es FROM src),
+x AS (SELECT doc_id, unnest(es) AS e, generate_subscripts(es, 1) AS p FROM e),
+g AS (SELECT doc_id, e.name AS name, arg_min(e.label, p) AS label, arg_min(e.type, p) AS type, arg_min(e.confidence, p) AS confidence, min(p) AS p FROM x GROUP BY ALL),
+m AS (SELECT doc_id, name, label, type, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos FROM g)"""
 
 
 def entity_mentions(spark, sf_dir):
-    m = mentions(table(spark, sf_dir, "documents"))
-    return m.groupBy("name").agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.min("doc_id").alias("first_doc"))
+    """Entities over all sources, as upserts leave them: label of the first source that has one, type, certainty, and mentions."""
+    d = sources(spark, sf_dir)
+    labels = spellings(d).groupBy(F.lower("label").alias("word")).agg(F.min_by("label", F.struct("doc_id", "pos")).alias("label"))
+    listed = F.create_map(*(F.lit(x) for t, _ in DICTIONARY for x in (t.lower(), t)))
+    m = mentions(d).groupBy("name", "type", "confidence").agg(F.count("*").alias("mentions"), F.min("doc_id").alias("first_doc"))
+    return m.join(labels, F.col("name") == F.col("word"), "left").select("name", F.coalesce(F.element_at(listed, F.col("name")), "label").alias("label"), "type", "mentions", "confidence", "first_doc")
 
 
-_D = ", ".join(f"'{t}'" for t in DICTIONARY)
-_S = ", ".join(f"'{t}'" for t in STOP)
-_M = rf"""e AS (SELECT doc_id, list_concat(list_transform(list_filter([{_D}], lambda t: contains(lower(text), lower(t))), lambda t: {{'name': lower(t), 'confidence': 0.9::DOUBLE}}),
-  list_transform(list_filter(regexp_extract_all(text, '{CAPS}'), lambda t: t NOT IN ({_S})), lambda t: {{'name': lower(t), 'confidence': 0.6::DOUBLE}})) AS es FROM documents),
-x AS (SELECT doc_id, unnest(es) AS e, generate_subscripts(es, 1) AS p FROM e),
-g AS (SELECT doc_id, e.name AS name, max(e.confidence) AS confidence, min(p) AS p FROM x GROUP BY ALL),
-m AS (SELECT doc_id, name, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY p, name) - 1 AS pos FROM g)"""
-MENTIONS = f"WITH {_M} SELECT name, count(*) AS mentions, max(confidence) AS confidence, min(doc_id) AS first_doc FROM m GROUP BY name"
+MENTIONS = f"WITH {_M}, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY confidence DESC, doc_id) AS n FROM m) SELECT name, max(label) FILTER (n = 1) AS label, max(type) FILTER (n = 1) AS type, count(*) AS mentions, max(confidence) AS confidence, min(doc_id) AS first_doc FROM r GROUP BY name"
+DELETES, UPLOADS = ["管理员", "删除"], ["成员", "上传"]
 
 
 def relations(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, target): pairs of a document's first five entities, left to right."""
-    m = mentions(docs).where("pos < 5")
-    a = m.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
-    pairs = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice(F.col("names"), i + 2, F.lit(5)), lambda y: F.struct(x.alias("source"), y.alias("target")))))
-    return a.select("doc_id", F.explode(pairs).alias("r")).select("doc_id", "r.source", "r.target").where("source <> target")
+    """(doc_id, source, target, type, confidence): permission and status relations that a text states, and pairs of its first five entities, left to right.
+
+    A relation counts only where both its ends are entities of the text, and different ones.
+    """
+    t = F.col("text")
+    has = lambda w: F.contains(t, F.lit(w))
+    low = F.lower(t)
+    document = F.when(has("文档"), F.lit("文档")).otherwise(F.lit("文件"))
+    some = has("文档") | has("文件")
+    made = lambda a, b, kind, c: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), F.lit(c).alias("confidence"))
+    stated = F.array_compact(F.array(
+        F.when(has("管理员") & has("删除") & some, made(F.lit("管理员"), document, "can_delete", 0.95)),
+        F.when(has("成员") & has("上传") & some, made(F.when(has("普通成员"), F.lit("普通成员")).otherwise(F.lit("成员")), document, "can_upload", 0.9)),
+        F.when(F.contains(low, F.lit("pending_review")) | has("待审核"), made(F.lit("文档"), F.lit("pending_review"), "has_status", 0.8)),
+        F.when(F.contains(low, F.lit("indexed")) | has("已索引"), made(F.lit("文档"), F.lit("indexed"), "has_status", 0.8)),
+    ))
+    names = mentions(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+    five = F.slice("names", 1, 5)
+    pairs = F.flatten(F.transform(five, lambda x, i: F.transform(F.slice(five, i + 2, F.lit(5)), lambda y: made(x, y, "co_occurs_with", 0.45))))
+    stating = docs.select("doc_id", stated.alias("stated")).where("size(stated) > 0")
+    rows = names.select("doc_id", "names", F.explode(pairs).alias("r")).unionAll(names.join(stating, "doc_id").select("doc_id", "names", F.explode("stated").alias("r")))
+    kept = rows.where(F.array_contains("names", F.col("r.source")) & F.array_contains("names", F.col("r.target")) & (F.col("r.source") != F.col("r.target")))
+    return kept.select("doc_id", "r.source", "r.target", "r.type", "r.confidence").distinct()
 
 
 def relation_cooccurrence(spark, sf_dir):
-    r = relations(table(spark, sf_dir, "documents"))
-    return r.groupBy("source", "target").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).withColumn("weight", F.round(F.least(F.lit(1.0), 0.45 + 0.05 * (F.col("n") - 1)), 6))
+    """Typed relations over all sources, with how many sources state each and the certainty of the first."""
+    r = relations(sources(spark, sf_dir))
+    return r.groupBy("source", "target", "type").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("confidence").alias("confidence"))
+
 
+_R = rf"""{_M}, f AS (SELECT * FROM m WHERE pos < 5), st AS (SELECT doc_id, CASE WHEN contains(text, '文档') THEN '文档' ELSE '文件' END AS d, contains(text, '文档') OR contains(text, '文件') AS about, text FROM src),
+r0 AS (SELECT a.doc_id, a.name AS source, b.name AS target, 'co_occurs_with' AS type, 0.45::DOUBLE AS confidence FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.pos < b.pos
+UNION SELECT doc_id, '管理员', d, 'can_delete', 0.95 FROM st WHERE about AND contains(text, '管理员') AND contains(text, '删除')
+UNION SELECT doc_id, CASE WHEN contains(text, '普通成员') THEN '普通成员' ELSE '成员' END, d, 'can_upload', 0.9 FROM st WHERE about AND contains(text, '成员') AND contains(text, '上传')
+UNION SELECT doc_id, '文档', 'pending_review', 'has_status', 0.8 FROM st WHERE contains(lower(text), 'pending_review') OR contains(text, '待审核')
+UNION SELECT doc_id, '文档', 'indexed', 'has_status', 0.8 FROM st WHERE contains(lower(text), 'indexed') OR contains(text, '已索引')),
+r AS (SELECT r0.* FROM r0 JOIN m a ON a.doc_id = r0.doc_id AND a.name = r0.source JOIN m b ON b.doc_id = r0.doc_id AND b.name = r0.target WHERE r0.source <> r0.target)"""
+COOCCUR = f"WITH {_R} SELECT source, target, type, count(*) AS n, min(doc_id) AS first_doc, max(confidence) AS confidence FROM r GROUP BY ALL"
 
-_R = f"{_M}, f AS (SELECT * FROM m WHERE pos < 5), r AS (SELECT a.doc_id, a.name AS source, b.name AS target FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE a.name <> b.name)"
-COOCCUR = f"WITH {_R} SELECT source, target, count(*) AS n, min(doc_id) AS first_doc, round(least(1.0, 0.45 + 0.05 * (count(*) - 1))::DOUBLE, 6) AS weight FROM r GROUP BY ALL"
+
+def orphans(entities: DataFrame, rels: DataFrame) -> DataFrame:
+    """Names of entities (name) that are an end of no relation (source, target)."""
+    return entities.select("name").distinct().join(rels.select(F.col("source").alias("name")).unionAll(rels.select("target")).distinct(), "name", "left_anti")
 
 
 def orphan_entities(spark, sf_dir):
     """Entities in no relation."""
-    d = table(spark, sf_dir, "documents")
-    r = relations(d)
-    return mentions(d).select("name").distinct().join(r.select(F.col("source").alias("name")).unionAll(r.select("target")).distinct(), "name", "left_anti")
+    d = sources(spark, sf_dir)
+    return orphans(mentions(d), relations(d))
 
 
 ORPHAN = f"WITH {_R} SELECT DISTINCT name FROM m WHERE name NOT IN (SELECT source FROM r UNION ALL SELECT target FROM r)"
 
 
+def without_documents(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """A graph table (doc_id, ...) without what the documents (doc_id) of gone stated: graph deletion, and the first half of a rebuild."""
+    return rows.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def rebuilt(rows: DataFrame, extract, changed: DataFrame) -> DataFrame:
+    """A graph table after the documents (doc_id, text) of changed were read again by extract(docs)."""
+    return without_documents(rows, changed).unionByName(extract(changed))
+
+
+def graph_after_delete(spark, sf_dir):
+    """Entities that remain, with their mentions and relations, once the documents labelled toxic are deleted from the graph."""
+    d, gone = sources(spark, sf_dir), table(spark, sf_dir, "labels").where("toxic = 1")
+    m, r = without_documents(mentions(d), gone), without_documents(relations(d), gone)
+    ends = r.select(F.col("source").alias("name")).unionAll(r.select("target")).groupBy("name").agg(F.count("*").alias("relations"))
+    return m.groupBy("name").agg(F.count("*").alias("mentions")).join(ends, "name", "left").select("name", "mentions", F.coalesce("relations", F.lit(0)).alias("relations"))
+
+
+AFTER_DELETE = f"""WITH {_R}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1), mm AS (SELECT name, count(*) AS mentions FROM m WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY name), rr AS (SELECT * FROM r WHERE doc_id NOT IN (SELECT doc_id FROM gone)),
+ends AS (SELECT name, count(*) AS relations FROM (SELECT source AS name FROM rr UNION ALL SELECT target FROM rr) GROUP BY name) SELECT name, mentions, coalesce(relations, 0) AS relations FROM mm LEFT JOIN ends USING (name)"""
+
+
+def graph_rebuild(spark, sf_dir):
+    """Relation counts by type before and after the labelled documents were rebuilt from texts without their first line."""
+    d = sources(spark, sf_dir)
+    changed = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.regexp_replace("text", "^[^\n]*\n", "").alias("text"))
+    r = relations(d)
+    count = lambda rows, name: rows.groupBy("type").agg(F.count("*").alias(name))
+    return count(r, "before").join(count(rebuilt(r, relations, changed), "after"), "type", "full_outer").select("type", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
+_CHANGED = _R.replace("src AS (SELECT doc_id, text FROM documents", "src AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN regexp_replace(text, '^[^\\n]*\\n', '') ELSE text END AS text FROM documents")
+REBUILD = f"""WITH {_R}, n AS (WITH {_CHANGED} SELECT * FROM r) SELECT type, coalesce(b, 0) AS before, coalesce(a, 0) AS after FROM (SELECT type, count(*) AS b FROM r GROUP BY 1) FULL JOIN (SELECT type, count(*) AS a FROM n GROUP BY 1) USING (type)"""
+
+
+def entity_detail(spark, sf_dir):
+    """Every dictionary entity with its mentions, relations in and out, types of its relations and neighbours."""
+    d = sources(spark, sf_dir)
+    m, r = mentions(d).where("confidence > 0.8"), relations(d)
+    ends = r.select(F.col("source").alias("name"), F.col("target").alias("other"), "type", F.lit(1).alias("out")).unionAll(r.select("target", "source", "type", F.lit(0)))
+    e = ends.groupBy("name").agg(F.sum("out").alias("out_relations"), F.sum(1 - F.col("out")).alias("in_relations"), F.countDistinct("other").alias("neighbours"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+    return m.groupBy("name", "type").agg(F.count("*").alias("mentions")).join(e, "name", "left").select("name", F.col("type").alias("entity_type"), "mentions", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("out_relations", "in_relations", "neighbours")), F.coalesce("types", F.lit("")).alias("types"))
+
+
+DETAIL = f"""WITH {_R}, ends AS (SELECT source AS name, target AS other, type, 1 AS o FROM r UNION ALL SELECT target, source, type, 0 FROM r),
+es AS (SELECT name, sum(o)::BIGINT AS out_relations, sum(1 - o)::BIGINT AS in_relations, count(DISTINCT other) AS neighbours, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM ends GROUP BY name),
+mm AS (SELECT name, type AS entity_type, count(*) AS mentions FROM m WHERE confidence > 0.8 GROUP BY ALL)
+SELECT name, entity_type, mentions, coalesce(out_relations, 0) AS out_relations, coalesce(in_relations, 0) AS in_relations, coalesce(neighbours, 0) AS neighbours, coalesce(types, '') AS types FROM mm LEFT JOIN es USING (name)"""
+
+
 def relation_dedup(spark, sf_dir):
     """Lines of the same part, supplier and flags keep the earliest: duplicates by a normalised key."""
     x = table(spark, sf_dir, "lineitem")
@@ -88,25 +202,69 @@ ONEHOP = "WITH g AS (SELECT c_nationkey AS k, 'customer' AS kind, c_acctbal AS b
 
 
 def graph_export(spark, sf_dir):
-    """Relation groups with their total, up to ten sources each, and the relation type."""
-    r = relations(table(spark, sf_dir, "documents"))
-    g = r.groupBy("source", "target").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 10), ",").alias("sources"))
-    return g.withColumn("type", F.lit("co_occurs_with"))
+    """Relation groups with their total and up to ten sources each."""
+    r = relations(sources(spark, sf_dir))
+    return r.groupBy("source", "target", "type").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 10), ",").alias("sources"))
 
 
-EXPORT = f"WITH {_R}, d AS (SELECT source, target, count(*) AS n, list_sort(list(DISTINCT doc_id)) AS ids FROM r GROUP BY ALL) SELECT source, target, n, array_to_string(ids[1:10], ',') AS sources, 'co_occurs_with' AS type FROM d"
+EXPORT = f"WITH {_R}, d AS (SELECT source, target, type, count(*) AS n, list_sort(list(DISTINCT doc_id)) AS ids FROM r GROUP BY ALL) SELECT source, target, type, n, array_to_string(ids[1:10], ',') AS sources FROM d"
 
 
-def graph_retrieve(spark, sf_dir):
-    """Documents by the entities in a query: mentions score 1, relations with one of them 0.7."""
-    d = table(spark, sf_dir, "documents")
-    names = F.lower(F.lit("what does the Apache License say about the MIT License"))
-    m = mentions(d).where(F.contains(names, F.col("name"))).select("doc_id", F.lit(1.0).alias("score"))
-    r = relations(d).where(F.contains(names, F.col("source")) | F.contains(names, F.col("target"))).select("doc_id", F.lit(0.7).alias("score"))
-    return m.unionAll(r).groupBy("doc_id").agg(F.max("score").alias("score"), F.count("*").alias("paths"))
+def exported_entities(m: DataFrame, groups: DataFrame, query: str = "", relation_type: str = "", entity: str = "") -> DataFrame:
+    """(name) of the entities an export shows: an entity's surroundings, else those a query matches, else the ends of a type's relations, else all."""
+    if entity:
+        groups = groups.where((F.col("source") == entity) | (F.col("target") == entity))
+    if relation_type:
+        groups = groups.where(F.col("type") == relation_type)
+    ends = groups.select(F.col("source").alias("name")).unionAll(groups.select("target"))
+    if entity:
+        return ends.unionAll(m.sparkSession.createDataFrame([(entity,)], "name string")).distinct()
+    if query:
+        return m.where(F.contains("name", F.lit(query.lower())) | F.contains("type", F.lit(query.lower()))).select("name").distinct()
+    return ends.distinct() if relation_type else m.select("name").distinct()
+
 
+def graph_export_filters(spark, sf_dir):
+    """How many entities an export shows under each filter, and the relation types there are."""
+    d = sources(spark, sf_dir)
+    m, r = mentions(d), relations(d)
+    cases = {"all": {}, "query": {"query": "Component"}, "type": {"relation_type": "can_delete"}, "entity": {"entity": "redis"}}
+    types = r.agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+    counts = [exported_entities(m, r, **c).agg(F.lit(n).alias("filter"), F.count("*").alias("entities")) for n, c in cases.items()]
+    return reduce(DataFrame.unionAll, counts).crossJoin(types)
 
-GRETRIEVE = f"WITH {_R}, q AS (SELECT lower('what does the Apache License say about the MIT License') AS q), s AS (SELECT doc_id, 1.0::DOUBLE AS score FROM m, q WHERE contains(q, name) UNION ALL SELECT doc_id, 0.7::DOUBLE FROM r, q WHERE contains(q, source) OR contains(q, target)) SELECT doc_id, max(score) AS score, count(*) AS paths FROM s GROUP BY doc_id"
+
+FILTERS = f"""WITH {_R}, q AS (SELECT 'all' AS filter, count(DISTINCT name) AS entities FROM m UNION ALL SELECT 'query', count(DISTINCT name) FROM m WHERE contains(name, 'component') OR contains(type, 'component')
+UNION ALL SELECT 'type', count(DISTINCT name) FROM (SELECT source AS name FROM r WHERE type = 'can_delete' UNION ALL SELECT target FROM r WHERE type = 'can_delete')
+UNION ALL SELECT 'entity', count(DISTINCT name) FROM (SELECT source AS name FROM r WHERE 'redis' IN (source, target) UNION ALL SELECT target FROM r WHERE 'redis' IN (source, target) UNION ALL SELECT 'redis'))
+SELECT filter, entities, (SELECT array_to_string(list_sort(list(DISTINCT type)), ',') FROM r) AS types FROM q"""
+
+
+def graph_retrieve(spark, sf_dir):
+    """Sources by the entities that each handbook question names or holds: mentions score 1, relations 0.7 and more for their certainty and for a type that the question names."""
+    d = sources(spark, sf_dir)
+    q = kb.questions(spark, sf_dir).select("question_id", F.lower("question").alias("low"), F.col("question").alias("text"))
+    m, r = mentions(d), relations(d)
+    names = m.select("name").distinct()
+    # Entities meet questions on the words and the names that these hold, as a name is one word or a dictionary term.
+    words = F.regexp_extract_all("low", F.lit("(?U)[a-z0-9_+-]{2,}"), F.lit(0))
+    terms = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t.lower())), F.lit(t.lower())) for t, _ in DICTIONARY)))
+    asked = q.select("question_id", "low", F.explode(F.array_distinct(F.concat(words, terms))).alias("name")).join(names, "name", "left_semi")
+    hits = asked.join(m.select("doc_id", "name"), "name").select("question_id", "doc_id", F.lit(1.0).alias("score"))
+    score = F.least(F.lit(1.0), 0.7 + F.when(F.contains("low", F.col("type")), 0.1).otherwise(0.0) + 0.1 * F.least(F.lit(1.0), "confidence"))
+    near = [asked.join(r, F.col("name") == F.col(end)).select("question_id", "doc_id", F.round(score, 6).alias("score")) for end in ("source", "target")]
+    found = reduce(DataFrame.unionAll, near, hits).groupBy("question_id", "doc_id").agg(F.max("score").alias("score"), F.count("*").alias("paths"))
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")))
+    return best.where("rank <= 20")
+
+
+GRETRIEVE = rf"""WITH {_R}, {kb.QUESTIONS_SQL}, q AS (SELECT question_id, lower(question) AS low FROM questions), nm AS (SELECT DISTINCT name FROM m),
+w AS (SELECT question_id, low, unnest(list_concat(regexp_extract_all(low, '[a-z0-9_+-]{{2,}}'), list_filter([{', '.join(repr(t.lower()) for t, _ in DICTIONARY)}], lambda t: contains(low, t)))) AS name FROM q),
+a AS (SELECT DISTINCT question_id, low, name FROM w JOIN nm USING (name)),
+h AS (SELECT question_id, doc_id, 1.0::DOUBLE AS score FROM a JOIN m USING (name) UNION ALL SELECT question_id, doc_id, round(least(1.0::DOUBLE, 0.7::DOUBLE + CASE WHEN contains(low, type) THEN 0.1::DOUBLE ELSE 0 END + 0.1::DOUBLE * least(1, confidence)), 6) FROM a JOIN r ON name = source
+UNION ALL SELECT question_id, doc_id, round(least(1.0::DOUBLE, 0.7::DOUBLE + CASE WHEN contains(low, type) THEN 0.1::DOUBLE ELSE 0 END + 0.1::DOUBLE * least(1, confidence)), 6) FROM a JOIN r ON name = target),
+g2 AS (SELECT question_id, doc_id, max(score) AS score, count(*) AS paths FROM h GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM g2 QUALIFY rank <= 20"""
 
 
 def part_cooccurrence(spark, sf_dir):
@@ -121,5 +279,5 @@ PARTS = "WITH b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part
 
 QUERIES = {
     "entity_mentions": (entity_mentions, MENTIONS), "relation_cooccurrence": (relation_cooccurrence, COOCCUR), "orphan_entities": (orphan_entities, ORPHAN), "relation_dedup": (relation_dedup, RDEDUP),
-    "graph_onehop": (graph_onehop, ONEHOP), "graph_export": (graph_export, EXPORT), "graph_retrieve": (graph_retrieve, GRETRIEVE), "part_cooccurrence": (part_cooccurrence, PARTS),
+    "graph_onehop": (graph_onehop, ONEHOP), "graph_export": (graph_export, EXPORT), "graph_after_delete": (graph_after_delete, AFTER_DELETE), "graph_rebuild": (graph_rebuild, REBUILD), "entity_detail": (entity_detail, DETAIL), "graph_export_filters": (graph_export_filters, FILTERS), "graph_retrieve": (graph_retrieve, GRETRIEVE), "part_cooccurrence": (part_cooccurrence, PARTS),
 }

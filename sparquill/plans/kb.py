@@ -1,4 +1,4 @@
-"""A small knowledge base that the relational tables spell out: a handbook a nation, a section a supplier, eight units each.
+"""A small knowledge base that the relational tables spell out: a handbook a nation, a section a supplier, ten units each.
 
 The driver's prose is invented, so that no rule of question analysis or evidence selection would
 ever fire on it. The handbooks are text made of table rows, with questions about them, as Spark
@@ -22,9 +22,11 @@ UNITS = [
     "Source basis: the supplier table of {R}.",
     "{E} 的颜色是蓝色，隶属 {N} 。",
     "docker compose down -v removes the volumes of {E} and preserves its images.",
+    "管理员 可以 删除 文档，普通成员 可以 上传 文件。",
+    "The worker of {E} runs on Redis and FastAPI; its citation is indexed, pending_review by the reranker.",
 ]
 #: Units of general sections, under a heading of their own.
-GENERAL = {4: "Configuration Details", 7: "Configuration Details"}
+GENERAL = {4: "Configuration Details", 7: "Configuration Details", 8: "Access Policy"}
 QUESTIONS = [
     "What is {E}?",
     "Where is the office of {E}?",
@@ -44,6 +46,8 @@ QUESTIONS = [
     "Which {R} {N} supplier is the largest",
     "GET /api/v1/suppliers and run_job() use app/models/supplier.py",
     "{E} 属于哪个团队？",
+    "管理员 和 文档 是什么关系？ can_delete",
+    "Does the worker use Redis?",
 ]
 
 
