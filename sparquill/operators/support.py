@@ -88,11 +88,11 @@ def _parts_covered(tokens: Column, context_tokens: Column) -> Column:
 
 
 def prepared(context: Column) -> Column:
-    """A context with what the tests below look at, computed once: text, lower, compact, identifier parts, entity tokens, identifiers."""
+    """A context with what the tests below look at, computed once: text, lower, compact, identifier parts, entity tokens, identifiers, attributes, and whether it lists values."""
     low = F.lower(context)
     words = F.regexp_extract_all(low, F.lit(r"[a-z_][a-z0-9_]*|[\x{4e00}-\x{9fff}]+"), F.lit(0))
     ids = F.concat(*(F.regexp_extract_all(context, F.lit("(?U)" + p), F.lit(0)) for p, _, _ in EXACT[:2]))
-    return F.struct(context.alias("text"), low.alias("low"), compact(context).alias("compact"), identifier_tokens(context).alias("parts"), words.alias("words"), F.transform(ids, lambda x: F.lower(x)).alias("ids"))
+    return F.struct(context.alias("text"), low.alias("low"), compact(context).alias("compact"), identifier_tokens(context).alias("parts"), words.alias("words"), F.transform(ids, lambda x: F.lower(x)).alias("ids"), Q.attributes_in(low, EVERY_ALIAS).alias("named"), lists_values(low).alias("lists"))
 
 
 def term_covered(term: Column, c: Column) -> Column:
@@ -117,13 +117,12 @@ def identifier_covered(identifier: Column, c: Column) -> Column:
 
 
 def attribute_in(name: Column, c: Column) -> Column:
-    """Whether the context names an attribute; supported values also by a list of them."""
-    named = reduce(lambda other, kv: F.when(name == kv[0], c["low"].rlike(Q.guarded(kv[1]))).otherwise(other), EVERY_ALIAS.items(), F.contains(c["low"], name))
-    return named | ((name == "supported_values") & lists_values(c))
+    """Whether the prepared context names an attribute; supported values also by a list of them."""
+    return F.array_contains(c["named"], name) | ((name == "supported_values") & c["lists"])
 
 
-def lists_values(c: Column) -> Column:
-    return Q.any_of(c["low"], SUPPORTED_WORDS) | c["low"].rlike("(?U)" + Q.joined(SUPPORTED_LISTS))
+def lists_values(low: Column) -> Column:
+    return Q.any_of(low, SUPPORTED_WORDS) | low.rlike("(?U)" + Q.joined(SUPPORTED_LISTS))
 
 
 def _pair_terms(q: Column, pattern: str) -> Column:
@@ -197,7 +196,7 @@ def _technical_intent(kind: Column, cli: Column, keywords: Column, c: Column) ->
     words, low = F.lower(F.array_join(keywords, " ")), c["low"]
     author = ["作者", "author", "created by", "maintainer"]
     return (
-        F.when(_any(words, ["支持哪些值", "哪些值", "supported values", "valid values", "options"]), lists_values(c))
+        F.when(_any(words, ["支持哪些值", "哪些值", "supported values", "valid values", "options"]), c["lists"])
         .when(_any(words, ["默认值", "default value", "default"]), _any(low, ["默认值", "default"]) & low.rlike(LITERAL))
         .when(_any(words, author), _any(low, author)).when(cli, _any(low, CLI_ACTIONS)).otherwise(_intent(kind, cli, keywords, low))
     )
