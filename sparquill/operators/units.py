@@ -100,7 +100,7 @@ def local_context(chunk: Column, unit: Column) -> Column:
     at = F.when((unit != "") & (at > 0), at).otherwise(F.when((small != "") & (F.instr(chunk, small) > 0), F.instr(chunk, small)).when((F.length(small) >= 8) & (F.instr(chunk, F.substring(small, 1, 24)) > 0), F.instr(chunk, F.substring(small, 1, 24))))
     before = F.substr(chunk, F.lit(1), at - 1)
     section = Q.spaced(F.element_at(F.split(before, "(?m)(?=" + BOUNDARY + ")"), -1))
-    return F.when(F.length(section) > 400, F.concat(F.rtrim(F.substring(section, 1, 397)), F.lit("..."))).otherwise(section)
+    return F.when(at.isNotNull(), F.when(F.length(section) > 400, F.concat(F.rtrim(F.substring(section, 1, 397)), F.lit("..."))).otherwise(section))
 
 
 def scored(rows: DataFrame, parent_context: bool = True) -> DataFrame:

@@ -209,7 +209,7 @@ def extracted(files: DataFrame, name: str = "path", content: str = "content") ->
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files under path by Spark's binary source: (path, modificationTime, length, sha256) and what extracted() gives."""
+    """Files under path by Spark's binary source, which leaves out files without a byte: (path, modificationTime, length, sha256) and what extracted() gives."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return extracted(files.withColumn("sha256", F.sha2("content", 256)))
 

@@ -60,7 +60,8 @@ def test_hashed_bow(spark):
 
 def test_vector_neighbours_with_ties(spark):
     rows = [(i, [1.0, 0.0]) for i in range(5)] + [(9, [0.0, 1.0]), (10, None)]
-    got = R.vector_neighbours(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 2).orderBy("query_id", "rank").collect()
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = R.vector_neighbours(df, df, "id", "v", 2).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got][:4] == [(0, 1), (0, 2), (1, 0), (1, 2)] and 9 not in {r["query_id"] for r in got}
 
 
@@ -84,3 +85,41 @@ def test_diversity(spark):
 def test_markers():
     assert E.checked_markers("A [S1]. B [1, S2, S9] c [x]", ["S1", "S2"]) == ("A [S1]. B [S1][S2] c [x]", ["S1", "S2"], 1)
     assert E.checked_markers("none", []) == ("none", [], 0)
+
+
+def test_lexical_arms_agree(spark, monkeypatch):
+    """Postings, pruned postings and the join give the same best documents."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(900, None)], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(4))) for i in range(15)], "query_id long, query string")
+    best = lambda df: sorted((r["query_id"], r["doc_id"], round(r["lexical"], 6)) for r in R.top_k(df.withColumn("lexical", F.round("lexical", 6)), 5, "lexical").collect())
+    whole, pruned = best(R.lexical_scores(docs, queries)), best(R.lexical_scores(docs, queries, 5))
+    monkeypatch.setattr(R, "MAX_BROADCAST_QUERIES", 3)
+    assert whole == pruned == best(R.lexical_scores(docs, queries)) and len(whole) == 75
+
+
+def test_keyword_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "See app/main.py for details", "guide.md", "x"), (2, "nothing", None, None), (3, "MAIN and app", "main.txt", None)], "doc_id long, text string, name string, metadata string")
+    queries = spark.createDataFrame([(7, "app/main.py"), (8, "??"), (9, "details guide")], "query_id long, query string")
+    got = {(r["query_id"], r["doc_id"]): (r["keyword"], r["matched"]) for r in R.keyword_scores(docs, queries).collect()}
+    # Terms of 7: app/main.py, app, main.py, main, app/main, py; the phrase, three technical terms. The name follows the text, so that 9 is a phrase.
+    assert got[7, 1] == (1.4, 6) and got[7, 3] == (round(2 / 6 + 0.2, 6), 2) and got[9, 1] == (1.45, 2) and (7, 2) not in got and (8, 1) not in got
+    monkeypatch.setattr(R, "MAX_BROADCAST_QUERIES", 1)
+    assert {(r["query_id"], r["doc_id"]): (r["keyword"], r["matched"]) for r in R.keyword_scores(docs, queries).collect()} == got
+
+
+def test_metadata_score(spark):
+    rows = [("how is page 7 set up", "Set Up", ["Guide"], None, "pdf", 7), ("what", None, None, None, None, None), ("", "a", None, None, None, None)]
+    df = spark.createDataFrame(rows, "query string, title string, headings array<string>, locator string, source_type string, page int")
+    got = [r[0] for r in df.select(R.metadata_score(*(F.col(c) for c in df.columns))).collect()]
+    assert [round(x, 6) for x in got] == [round(0.7 * 4 / 6 + 0.25 + 0.15, 6), 0.0, 0.0]
+
+
+def test_snippets(spark):
+    text = "A. " * 60 + "the needle is here, in the middle of it; " + "B. " * 100
+    rows = spark.createDataFrame([("needle", text), ("absent", "short text"), ("zzz", text)], "query string, text string")
+    got = [r["snippet"] for r in R.query_snippet(rows).collect()]
+    assert "needle" in got[0] and got[0].startswith("...") and got[0].endswith("...") and len(got[0]) < 360 and got[1] == "short text" and got[2].startswith("A. A.")
