@@ -32,11 +32,16 @@ def sanitized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), "^\\s+|\\s+$", ""))
 
 
+def readable(text: Column) -> Column:
+    """Letters and digits of a text: what is left when runs of anything else go, which costs a step a run."""
+    return F.length(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", ""))
+
+
 def quality(text: Column) -> Column:
     """binary_like, empty, garbled, too_short or valid."""
-    controls = F.regexp_count(text, F.lit("[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"))
-    visible = F.regexp_count(text, F.lit("[^\\s]"))
-    alnum = F.regexp_count(text, F.lit("[\\p{L}\\p{N}]"))
+    controls = F.length(text) - F.length(F.regexp_replace(text, "[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]+", ""))
+    visible = F.length(F.regexp_replace(text, "\\s+", ""))
+    alnum = readable(text)
     return (
         F.when(F.contains(text, F.lit("\0")), F.lit("binary_like"))
         .when(text.isNull() | (visible == 0), F.lit("empty"))
@@ -75,13 +80,6 @@ def bigrams(text: Column) -> Column:
     return F.when(F.length(text) < 2, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 1)), lambda i: F.substr(text, i, F.lit(2)))))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of one length; 0 if one of them is zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norms = norm(a) * norm(b)
-    return F.when(norms == 0, F.lit(0.0)).otherwise(dot / norms)
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

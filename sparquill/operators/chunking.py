@@ -16,6 +16,8 @@ _LIST = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+\S")
 _FIELD = re.compile(r"[^\s:：.|][^:：.|\n]{0,39}[:：]\s*\S")
 _END = "。！？；.!?;"
 _CLOSE = "\"'”’）)]】」』"
+#: Where sentences may end: a mark with the marks and closing quotes after it, or empty lines.
+_BREAK = re.compile(rf"[{_END}][{re.escape(_END + _CLOSE)}]*|\n\n+")
 TECH = re.compile(r"[A-Za-z0-9_]")
 
 
@@ -70,31 +72,22 @@ def _inside_token(text: str, i: int) -> bool:
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, text) of sentences, trimmed; empty lines end them too."""
-    out, start, i = [], 0, 0
+    out, start = [], 0
 
     def close(end: int) -> None:
-        a, b = start, end
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        if b > a:
-            out.append((a, b, text[a:b]))
-
-    while i < len(text):
-        if text[i] in _END and not _inside_token(text, i):
-            i += 1
-            while i < len(text) and text[i] in _END + _CLOSE:
-                i += 1
-            close(i)
-            start = i
-        elif text.startswith("\n\n", i):
-            close(i)
-            while i < len(text) and text[i] == "\n":
-                i += 1
-            start = i
-        else:
-            i += 1
+        piece = text[start:end]
+        bare = piece.strip()
+        if bare:
+            a = start + len(piece) - len(piece.lstrip())
+            out.append((a, a + len(bare), bare))
+
+    for m in _BREAK.finditer(text):
+        if text[m.start()] == "\n":
+            close(m.start())
+            start = m.end()
+        elif not _inside_token(text, m.start()):
+            close(m.end())
+            start = m.end()
     close(len(text))
     return out
 

@@ -31,14 +31,14 @@ def near_duplicate_lines(spark, sf_dir):
     a, b = F.length("x.t"), F.length("y.t")
     contained = (F.contains("x.t", F.col("y.t")) | F.contains("y.t", F.col("x.t"))) & (F.least(a, b) / F.greatest(a, b) >= 0.55)
     alike = both / (F.size("x.b") + F.size("y.b") - both) >= 0.75
-    return two.where((F.col("x.t") == F.col("y.t")) | contained | alike | (both / small >= 0.9)).select("doc_id", F.col("x.i").alias("line"), F.col("y.i").alias("other"))
+    return two.where((F.col("x.t") == F.col("y.t")) | contained | alike | (both / small >= 0.75)).select("doc_id", F.col("x.i").alias("line"), F.col("y.i").alias("other"))
 
 
 NEAR = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 t AS (SELECT doc_id, i, substr(regexp_replace(lower(line), '[^0-9a-z\x{4e00}-\x{9fff}]', '', 'g'), 1, 320) AS t FROM l),
 b AS (SELECT doc_id, i, t, list_distinct(list_transform(range(1, length(t)), lambda k: substr(t, k, 2))) AS b FROM t WHERE length(t) >= 8),
 p AS (SELECT x.doc_id, x.i AS line, y.i AS other, x.t AS t1, y.t AS t2, len(list_intersect(x.b, y.b)) AS c, len(x.b) AS n1, len(y.b) AS n2 FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.i < y.i)
-SELECT doc_id, line::INTEGER AS line, other::INTEGER AS other FROM p WHERE t1 = t2 OR ((contains(t1, t2) OR contains(t2, t1)) AND least(length(t1), length(t2))::DOUBLE / greatest(length(t1), length(t2)) >= 0.55) OR c::DOUBLE / (n1 + n2 - c) >= 0.75 OR c::DOUBLE / least(n1, n2) >= 0.9"""
+SELECT doc_id, line::INTEGER AS line, other::INTEGER AS other FROM p WHERE t1 = t2 OR ((contains(t1, t2) OR contains(t2, t1)) AND least(length(t1), length(t2))::DOUBLE / greatest(length(t1), length(t2)) >= 0.55) OR c::DOUBLE / (n1 + n2 - c) >= 0.75 OR c::DOUBLE / least(n1, n2) >= 0.75"""
 
 
 def turn_relevance(spark, sf_dir):

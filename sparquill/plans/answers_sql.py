@@ -263,3 +263,8 @@ rs AS (SELECT question_id, chunk_id, idx, CASE WHEN NOT (p_type = 'generic_factu
   + CASE WHEN {share('both_low')} > 0 THEN CASE WHEN p_type = 'entity_relation' THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END ELSE 0 END + CASE WHEN len(hp) >= 2 AND list_has_all({parts('q')}, hp) THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN p_type = 'entity_definition' AND {names('both_low')} AND {_ANSWERS} THEN 0.2::DOUBLE ELSE 0 END
   - CASE WHEN p_type = 'entity_definition' AND {has('lower(' + spaced_sql('text') + ')', U.BOILERPLATE)} THEN 0.2::DOUBLE ELSE 0 END, 6) END AS priority FROM rq)
 SELECT question_id, chunk_id, priority, row_number() OVER (PARTITION BY question_id ORDER BY priority DESC NULLS LAST, idx)::INTEGER AS place FROM rs"""
+_TOK = lambda x: f"regexp_extract_all(lower({x}), '[A-Za-z0-9]+|{CJK}')"
+_COUNT = "len(list_filter({a}, lambda y: y = x))"
+RERANKED = f"""{_HEAD}, {SELECTED}, {_FINAL}, rr AS (SELECT question_id, unit_id, pos, {_TOK('question')} AS q, {_TOK('text')} AS d, {_TOK("concat_ws(' ', document, locator, section)")} AS m, contains(lower({spaced_sql('text')}), lower({spaced_sql('question')})) AS ph FROM evidence JOIN questions USING (question_id)),
+rs AS (SELECT question_id, unit_id, pos, round(least(1.0::DOUBLE, CASE WHEN ph THEN 0.35::DOUBLE ELSE 0 END + 0.45::DOUBLE * len(list_intersect(list_distinct(q), d)) / greatest(1, len(list_distinct(q))) + 0.15::DOUBLE * coalesce(list_sum(list_transform(list_intersect(list_distinct(q), d), lambda x: least({_COUNT.format(a='q')}, {_COUNT.format(a='d')}))), 0) / greatest(1, len(q)) + 0.05::DOUBLE * len(list_intersect(list_distinct(q), m)) / greatest(1, len(list_distinct(q)))), 6) AS rerank FROM rr)
+SELECT question_id, unit_id, rerank, row_number() OVER (PARTITION BY question_id ORDER BY rerank DESC, pos)::INTEGER AS rank FROM rs QUALIFY rank <= 3"""

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as T
+from sparquill.plans import kb
 from sparquill.plans.retrieval import TOK
 from sparquill.sources import table
 
@@ -19,7 +20,7 @@ FREQ = f"WITH t AS (SELECT lang, unnest({TOK.format(x='text')}) AS token FROM do
 
 def text_quality_report(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.quality(F.col("text")).alias("status"), F.regexp_count("text", F.lit("[\\p{L}\\p{N}]")).alias("readable"))
+    return d.select("doc_id", T.quality(F.col("text")).alias("status"), T.readable(F.col("text")).alias("readable"))
 
 
 QUALITY = r"""WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]')) AS controls, len(regexp_extract_all(text, '[^\s]')) AS visible, len(regexp_extract_all(text, '[\p{L}\p{N}]')) AS alnum FROM documents)
@@ -68,23 +69,54 @@ ROLES = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS lin
 SELECT doc_id, CASE WHEN regexp_matches(line, '^\s*([-*+]|[0-9]+[.)])\s+[^\s]') THEN 'list_item' WHEN regexp_matches(line, '^[^\s:.|]([^:.|\n]{0,38}[^\s:.|])?:\s*[^\s]') THEN 'field' WHEN contains(line, ' | ') THEN 'table_row' ELSE 'text' END AS role, count(*) AS lines FROM l GROUP BY ALL"""
 
 
+OVERVIEW_WORDS = ["摘要", "概述", "简介", "背景", "主要内容", "关键点", "总结", "结论", "引言", "abstract", "overview", "introduction", "summary", "conclusion", "background"]
+BOILERPLATE = ["目录", "免责声明", "版权", "页眉", "页脚", "参考文献", "附录", "table of contents", "copyright", "disclaimer", "references", "appendix"]
+LIST_MARK = r"(^|\n)\s*(?:[-*]\s+|\d+\.\s+|[一二三四五六七八九十]+、)"
+
+
+def overview_scored(rows):
+    """rows (title, text, index) with their overview score: keywords of title and start, length, structure, place, boilerplate."""
+    flat = T.normalized(F.col("text"))
+    title, first, n = T.normalized(F.coalesce("title", F.lit(""))), F.substring(flat, 1, 240), F.length(flat)
+    words, bad = "|".join(OVERVIEW_WORDS), "|".join(BOILERPLATE)
+    own = (
+        F.when(title.rlike(words), 3.0).otherwise(0.0) + F.when(first.rlike(words), 1.0).otherwise(0.0) + F.when(n.between(200, 1200), 1.0).when(n.between(80, 199), 0.3).when(n < 80, -1.0).otherwise(0.0) + F.when(flat.rlike("[：:]"), 0.5).otherwise(0.0)
+        + F.when(flat.rlike(LIST_MARK), 0.5).otherwise(0.0) + F.when(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) >= 3, 0.3).otherwise(0.0) - F.when(title.rlike(bad) | first.rlike(bad), 2.0).otherwise(0.0)
+    )
+    return rows.withColumn("own", own)
+
+
 def overview_chunk_score(spark, sf_dir):
-    """Overview scores of documents: title and prefix keywords, length bands, structure, position, boilerplate."""
-    t, first = F.col("text"), F.lower(F.substring("text", 1, 240))
-    n = F.length(F.trim(t))
+    """Overview scores of documents as chunks of their source. Texts are scored where they are; only ids and scores are numbered."""
+    rows = overview_scored(table(spark, sf_dir, "documents").withColumn("title", F.col("source"))).select("doc_id", "source", "own")
     index = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    score = (
-        F.when(first.rlike("overview|summary|introduction|the of"), 1.0).otherwise(0.0)
-        + F.when(n.between(200, 1200), 1.0).when(n.between(80, 199), 0.3).when(n < 80, -1.0).otherwise(0.0)
-        + F.when(F.contains(t, F.lit(":")), 0.5).otherwise(0.0) + F.when(t.rlike("(^|\n)[-*] "), 0.5).otherwise(0.0)
-        + F.when(F.size(F.split(t, "\n")) >= 3, 0.3).otherwise(0.0) + F.greatest(F.lit(0.0), 1 - 0.1 * F.col("i")) - F.when(first.rlike("licensed|copyright"), 2.0).otherwise(0.0)
-    )
-    return table(spark, sf_dir, "documents").withColumn("i", index).select("doc_id", "source", F.round(score, 6).alias("score"))
+    return rows.withColumn("i", index).select("doc_id", "source", F.round(F.col("own") + F.greatest(F.lit(0.0), 1 - 0.1 * F.col("i")), 6).alias("score"))
+
+
+OVERVIEW = rf"""WITH d AS (SELECT doc_id, source, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents), e AS (SELECT *, substr(t, 1, 240) AS f, length(t) AS n FROM d)
+SELECT doc_id, source, round((CASE WHEN regexp_matches(lower(source), '{'|'.join(OVERVIEW_WORDS)}') THEN 3.0 ELSE 0 END + CASE WHEN regexp_matches(f, '{'|'.join(OVERVIEW_WORDS)}') THEN 1.0 ELSE 0 END + CASE WHEN n BETWEEN 200 AND 1200 THEN 1.0 WHEN n BETWEEN 80 AND 199 THEN 0.3 WHEN n < 80 THEN -1.0 ELSE 0 END + CASE WHEN regexp_matches(t, '[：:]') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(t, '{LIST_MARK}') THEN 0.5 ELSE 0 END
+ + CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) >= 3 THEN 0.3 ELSE 0 END + greatest(0.0, 1 - 0.1 * i) - CASE WHEN regexp_matches(lower(source), '{'|'.join(BOILERPLATE)}') OR regexp_matches(f, '{'|'.join(BOILERPLATE)}') THEN 2.0 ELSE 0 END)::DOUBLE, 6) AS score FROM e"""
+
+
+def overview_document_order(spark, sf_dir):
+    """Handbooks in the order of the words that their names share with each question; ties as they were."""
+    q = kb.questions(spark, sf_dir)
+    stem = lambda a: F.transform(a, lambda t: F.when((F.length(t) > 3) & t.endswith("s"), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+    none = F.array().cast("array<string>")
+    more = F.concat(*(F.when(F.contains("question", F.lit(w)), F.array(*map(F.lit, a))).otherwise(none) for w, a in TOPICS.items()))
+    q = q.select("question_id", F.array_distinct(F.concat(stem(T.tokens(F.col("question"))), more)).alias("qt"))
+    d = kb.handbooks(spark, sf_dir).withColumn("dt", F.array_distinct(stem(T.tokens(F.regexp_replace("filename", "[-_.]+", " ")))))
+    # Names meet questions on shared words; a question's other documents follow in their own order and need no row.
+    shared = q.select("question_id", F.explode("qt").alias("w")).join(d.select("doc_id", F.explode("dt").alias("w")), "w").groupBy("question_id", "doc_id").agg(F.count("*").alias("shared"))
+    return shared.withColumn("place", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("shared"), "doc_id")))
 
 
-OVERVIEW = r"""WITH d AS (SELECT doc_id, source, text, lower(substr(text, 1, 240)) AS f, length(trim(text, ' ')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
-SELECT doc_id, source, round((CASE WHEN regexp_matches(f, 'overview|summary|introduction|the of') THEN 1.0 ELSE 0 END + CASE WHEN n BETWEEN 200 AND 1200 THEN 1.0 WHEN n BETWEEN 80 AND 199 THEN 0.3 WHEN n < 80 THEN -1.0 ELSE 0 END + CASE WHEN contains(text, ':') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(text, '(^|\n)[-*] ') THEN 0.5 ELSE 0 END
- + CASE WHEN len(string_split(text, chr(10))) >= 3 THEN 0.3 ELSE 0 END + greatest(0.0, 1 - 0.1 * i) - CASE WHEN regexp_matches(f, 'licensed|copyright') THEN 2.0 ELSE 0 END)::DOUBLE, 6) AS score FROM d"""
+TOPICS = {"团队": ["team"], "成员": ["member", "role"]}
+_STEM = "CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN x[1:length(x) - 1] ELSE x END"
+_MORE = ", ".join(f"CASE WHEN contains(question, '{w}') THEN {a} ELSE [] END" for w, a in TOPICS.items())
+ORDER = rf"""WITH {kb.SUPPLIERS}, {kb.QUESTIONS_SQL}, {kb.HANDBOOKS_SQL}, q AS (SELECT question_id, unnest(list_distinct(list_concat(list_transform({TOK.format(x='question')}, lambda x: {_STEM}), flatten([{_MORE}])))) AS w FROM questions),
+d AS (SELECT doc_id, unnest(list_distinct(list_transform({TOK.format(x="regexp_replace(filename, '[-_.]+', ' ', 'g')")}, lambda x: {_STEM}))) AS w FROM handbooks), s AS (SELECT question_id, doc_id, count(*) AS shared FROM q JOIN d USING (w) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, doc_id)::INTEGER AS place FROM s"""
 
 
 def markdown_inline_texts(spark, sf_dir):
@@ -97,6 +129,6 @@ SELECT conv_id, turn, md5(trim(t, ' ')) AS digest FROM c"""
 
 QUERIES = {
     "token_frequency": (token_frequency, FREQ), "text_quality_report": (text_quality_report, QUALITY), "doc_exact_dup_groups": (doc_exact_dup_groups, DUPS), "sanitized_texts": (sanitized_texts, SANITIZED),
-    "corpus_manifest": (corpus_manifest, MANIFEST), "document_previews": (document_previews, PREVIEW), "line_roles": (line_roles, ROLES), "overview_chunk_score": (overview_chunk_score, OVERVIEW),
+    "corpus_manifest": (corpus_manifest, MANIFEST), "document_previews": (document_previews, PREVIEW), "line_roles": (line_roles, ROLES), "overview_chunk_score": (overview_chunk_score, OVERVIEW), "overview_document_order": (overview_document_order, ORDER),
     "markdown_inline_texts": (markdown_inline_texts, MARKDOWN),
 }
