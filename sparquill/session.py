@@ -17,6 +17,7 @@ def local_session(cpus: int = 8, memory: str = "6g", app: str = "sparquill") ->
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # each expression would ask the JVM for its place in the code
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sparquill-ckpt-"))
         .getOrCreate()
     )
