@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparquill.operators.chunking import sentences
 from sparquill.sources.files import inline
 
 _HEADING = re.compile(r"(#{1,6})\s+(\S.*)")
@@ -222,12 +223,88 @@ def chunked(blocks: list[dict], target: int = 900, most: int = 1400, least: int
     return out
 
 
+#: Words that stand alone as a sentence and say nothing.
+_EMPTY = {"概要", "登场角色", "如下：", "因此。", "综上。", "该方法。"}
+_CLAUSE = re.compile(r"[^，,、：:]*[，,、：:]|[^，,、：:]+")
+
+
 def low_value(text: str, title: str | None = None, path: list[str] | None = None) -> bool:
-    """Whether a sentence says nothing to cite: hardly a letter, or just its heading."""
+    """Whether a sentence says nothing to cite: hardly a letter, a stock phrase, or just its heading."""
     t = " ".join(text.split())
     letters = sum(c.isalnum() for c in t)
     heads = {" ".join(h.split()) for h in [title or "", *(path or [])]} - {""}
-    return not letters or len(t) < 8 and letters < 3 or t in heads or t.endswith("...") and len(t) < 16
+    return not letters or len(t) < 8 and letters < 3 or t in heads or t in _EMPTY or t.endswith("...") and len(t) < 16
+
+
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """The range without the blanks at its ends."""
+    piece = text[a:b]
+    return (a + len(piece) - len(piece.lstrip()), a + len(piece.rstrip())) if piece.strip() else (a, a)
+
+
+def groups(text: str, role: str | None) -> list[tuple[int, int, str | None]]:
+    """(start, end, role) of the parts of a span that no citation crosses: a field or list item alone, other lines up to the next blank one."""
+    if role:
+        a, b = trimmed(text, 0, len(text))
+        return [(a, b, role)] if a < b else []
+    out: list[tuple[int, int, str | None]] = []
+    at, joins = 0, False
+    for line in text.splitlines(keepends=True):
+        a, b = trimmed(text, at, at + len(line))
+        at += len(line)
+        own = ("list_item" if _LIST.match(text[a:b]) else "field" if _FIELD.match(text[a:b]) else None) if a < b else None
+        if a < b and joins and not own:
+            out[-1] = (out[-1][0], b, None)
+        elif a < b:
+            out.append((a, b, own))
+        joins = a < b and not own
+    return out
+
+
+def clauses(text: str, most: int) -> list[tuple[int, int]]:
+    """Ranges of a sentence: all of it, or if it is longer than most, clauses packed to most; one clause is never cut."""
+    if len(" ".join(text.split())) <= most:
+        return [(0, len(text))]
+    spans = [x for m in _CLAUSE.finditer(text) if (x := trimmed(text, *m.span()))[0] < x[1]]
+    out: list[tuple[int, int]] = []
+    size = 0
+    for a, b in spans:
+        n = len(" ".join(text[a:b].split()))
+        if out and size + 1 + n <= most:
+            out[-1], size = (out[-1][0], b), size + 1 + n
+        else:
+            out.append((a, b))
+            size = n
+    return out or [(0, len(text))]
+
+
+def cited(blocks: list[dict], least: int = 40, target: int = 120, most: int = 300, count: int = 3) -> list[dict]:
+    """Citation units of a text's chunks: sentences merged inside one group of one block, with where they are in the source.
+
+    A sentence shorter than target takes the next ones until the unit has least characters, up to count sentences and most
+    characters; least is at most target. Headings and sentences of low value give none. A text without any gives no row;
+    equal sentences give a unit each.
+    """
+    out: list[dict] = []
+    for no, c in enumerate(chunked(blocks)):
+        path = c["path"]
+        title = path[-1] if path else None
+        for (a, b, start, _), order in zip(c["spans"], c["orders"]):
+            whole = c["text"][a:b]
+            for ga, gb, role in groups(whole, blocks[order]["role"]):
+                found = [(ga + sa + x, ga + sa + y) for sa, _, s in sentences(whole[ga:gb]) for x, y in clauses(s, most)]
+                spans = [(x, y, t) for x, y in found if not low_value(t := " ".join(whole[x:y].split()), title, path)]
+                i = 0
+                while i < len(spans):
+                    k, text = 1, spans[i][2]
+                    while i + k < len(spans) and k < count and (len(text) < least or k == 1 and len(text) < target) and len(text) + 1 + len(spans[i + k][2]) <= most:
+                        text += " " + spans[i + k][2]
+                        k += 1
+                    x, y = start + spans[i][0], start + spans[i + k - 1][1]
+                    i += k
+                    if not low_value(text, title, path):
+                        out.append({"chunk_no": no, "kind": blocks[order]["kind"], "role": blocks[order]["role"], "path": path, "section": title, "text": text, "start": x, "end": y, "locator": f"heading:{title}" if title else f"chars:{x}-{y}"})
+    return out
 
 
 def _column(docs: DataFrame, make, schema: str, fields: list[tuple[str, pa.DataType]], id_col: str, text_col: str) -> DataFrame:
@@ -256,3 +333,9 @@ def chunks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     span = pa.struct([("at", _I), ("to", _I), ("start", _I), ("end", _I)])
     make = lambda t: [{**c, "spans": [dict(zip(("at", "to", "start", "end"), s)) for s in c["spans"]]} for c in chunked(parsed(t))]
     return _column(docs, make, "path array<string>, kinds array<string>, orders array<int>, part int, parts int, text string, spans array<struct<at:int,to:int,start:int,`end`:int>>", [("path", _L), ("kinds", _L), ("orders", pa.list_(_I)), ("part", _I), ("parts", _I), ("text", _S), ("spans", pa.list_(span))], id_col, text_col)
+
+
+def citations_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, part_no, chunk_no, kind, role, path, section, text, start, end, locator): citation units of every text that is not null, numbered through the text."""
+    fields = [("chunk_no", _I), ("kind", _S), ("role", _S), ("path", _L), ("section", _S), ("text", _S), ("start", _I), ("end", _I), ("locator", _S)]
+    return _column(docs, lambda t: cited(parsed(t)), "chunk_no int, kind string, role string, path array<string>, section string, text string, start int, `end` int, locator string", fields, id_col, text_col)

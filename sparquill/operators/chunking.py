@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 _LIST = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+\S")
 _FIELD = re.compile(r"[^\s:：.|][^:：.|\n]{0,39}[:：]\s*\S")
 _END = "。！？；.!?;"
-_CLOSE = "\"'”’）)]】」』"
+_CLOSE = "\"'”’）)]}】》」』"
 #: Where sentences may end: a mark with the marks and closing quotes after it, or empty lines.
 _BREAK = re.compile(rf"[{_END}][{re.escape(_END + _CLOSE)}]*|\n\n+")
-TECH = re.compile(r"[A-Za-z0-9_]")
 
 
 def legacy_chunks(text: str, size: int = 500) -> list[str]:
@@ -67,7 +66,7 @@ def fixed_chunks(text: str, size: int = 1200, overlap: int = 120, whole: int = 1
 
 def _inside_token(text: str, i: int) -> bool:
     """A dot between parts of a number, name or path is no end of a sentence."""
-    return text[i] == "." and 0 < i < len(text) - 1 and bool(TECH.match(text[i - 1])) and bool(TECH.match(text[i + 1]))
+    return text[i] == "." and 0 < i < len(text) - 1 and all(c.isalnum() or c in "_-" for c in (text[i - 1], text[i + 1]))
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:

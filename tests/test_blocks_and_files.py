@@ -44,6 +44,31 @@ def test_low_value_sentences():
     assert B.low_value("--") and B.low_value("a.") and B.low_value("Setup", title="Setup") and B.low_value("well then...") and not B.low_value("A full sentence.")
 
 
+def test_citations_stay_in_groups():
+    got = B.cited(B.parsed("# Setup\n\nSetup\n\n- Short item one. And more of it here, it is.\nMode: fast. Value 3.14 of a.b.\n\nOne short. Two is also short. Three. Four.\n\n" + "clause of some length, " * 30 + "end."))
+    assert [c["text"] for c in got[:4]] == ["Short item one. And more of it here, it is.", "Mode: fast. Value 3.14 of a.b.", "One short. Two is also short. Three.", "Four."] and [c["role"] for c in got[:3]] == ["list_item", "field", None]
+    assert all(len(c["text"]) <= 300 and c["text"].startswith("clause") and c["text"].endswith((",", "end.")) for c in got[4:]) and len(got) == 7 and {c["locator"] for c in got} == {"heading:Setup"}
+    assert B.groups("a\nb\n\nc\nk: v\nd", None) == [(0, 3, None), (5, 6, None), (7, 11, "field"), (12, 13, None)] and B.groups(" k: v ", "field") == [(1, 5, "field")] and B.groups("", None) == []
+    assert B.cited(B.parsed("")) == [] and B.cited(B.parsed("plain text only."))[0]["locator"] == "chars:0-16"
+    assert B.low_value("综上。") and len(B.cited(B.parsed("x" * 5000 + "."))) == 4
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["# A", "- item one. two", "k: v", "word, " * 70 + "x.", "Some sentence is here. Is it? ", "", "| a | b |", "```", "3.14 a.b"]), max_size=30))
+def test_citations_are_slices_of_their_source(lines):
+    blocks = B.parsed("\n".join(lines))
+    text = B.plain(blocks)
+    for c in B.cited(blocks):
+        assert " ".join(text[c["start"] : c["end"]].split()) == c["text"] and len(c["text"]) <= 300
+        assert any(b["start"] <= c["start"] and c["end"] <= b["end"] and b["kind"] == c["kind"] for b in blocks)
+
+
+def test_citations_of_a_table(spark):
+    df = spark.createDataFrame([(1, "A whole sentence here. Again.", "x"), (2, None, "y"), (3, "", "z"), (1, "A whole sentence here. Again.", "x")], "doc_id long, text string, start string")
+    assert sorted((r["doc_id"], r["part_no"], r["text"]) for r in B.citations_of(df).collect()) == [(1, 0, "A whole sentence here. Again.")] * 2
+    assert B.citations_of(df.limit(0)).count() == 0
+
+
 def test_files_round_trip(spark, tmp_path):
     sections = [("Head one", ["first line", "second (2) line"]), ("Head two", ["third"])]
     for e in ("txt", "md", "docx"):
