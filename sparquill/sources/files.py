@@ -141,6 +141,15 @@ def pdf_stream_text(stream: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def _inflated(data: bytes) -> bytes:
+    """What a compressed stream holds: it knows its own end, so that its last byte, which may be a carriage return, isn't taken for the line's end."""
+    z = zlib.decompressobj()
+    out = z.decompress(data)
+    if not z.eof:
+        raise zlib.error("incomplete stream")
+    return out
+
+
 def pdf_segments(data: bytes) -> list[dict]:
     """A segment for each page that has text, in the order of its object's number."""
     if not data.startswith(b"%PDF"):
@@ -154,10 +163,10 @@ def pdf_segments(data: bytes) -> list[dict]:
         refs = re.findall(rb"(\d+)\s+\d+\s+R", array[1]) if array else re.findall(rb"/Contents\s+(\d+)\s+\d+\s+R", body)[:1]
         texts = []
         for ref in map(int, refs):
-            stream = re.search(rb"stream\r?\n(.*?)\r?\nendstream", objects.get(ref, b""), re.S)
+            stream = re.search(rb"stream\r?\n(.*?\n)endstream", objects.get(ref, b""), re.S)
             if stream:
                 try:
-                    texts.append(pdf_stream_text(zlib.decompress(stream[1]) if b"/FlateDecode" in objects[ref] else stream[1]))
+                    texts.append(pdf_stream_text(_inflated(stream[1]) if b"/FlateDecode" in objects[ref] else stream[1]))
                 except zlib.error:
                     continue
         if text := "\n".join(t for t in texts if t).strip():

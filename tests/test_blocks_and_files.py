@@ -120,3 +120,13 @@ def test_eval_text(spark):
     rows = [("The `max` is **3**，“ok”。", "the max is 3,ok"), ("a *b* c*d", "a b c*d"), (None, ""), ("ＡＢＣ！", "abc")]
     got = spark.createDataFrame(rows, "t string, w string").select(E.eval_text(F.col("t")), "w").collect()
     assert all(a == b for a, b in got)
+
+
+def test_pdf_stream_that_ends_in_a_carriage_return():
+    import zlib
+
+    from sparquill.plans.files import made_file
+    from sparquill.sources import files
+
+    head = next(h for i in range(10_000) if zlib.compress(f"BT ({(h := 'z' * (i % 50) + str(i))}) Tj ET\nBT (unit) Tj ET".encode()).endswith(b"\r"))
+    assert [p["text"] for p in files.pdf_segments(made_file("pdf", [(head, ["unit"]), ("b", ["c"])]))] == [f"{head}\nunit", "b\nc"]
