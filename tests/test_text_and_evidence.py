@@ -123,3 +123,38 @@ def test_snippets(spark):
     rows = spark.createDataFrame([("needle", text), ("absent", "short text"), ("zzz", text)], "query string, text string")
     got = [r["snippet"] for r in R.query_snippet(rows).collect()]
     assert "needle" in got[0] and got[0].startswith("...") and got[0].endswith("...") and len(got[0]) < 360 and got[1] == "short text" and got[2].startswith("A. A.")
+
+
+def test_near_duplicate_lines_equal_the_bigram_rules_across_blocks(spark, monkeypatch):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+    from sparquill.functions import text as T
+    from sparquill.operators import lines as L
+
+    monkeypatch.setattr(L, "BLOCK", 7)
+    r = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "团队知识库", "Ünder", "İdx", "K9", "x-y_z"]
+    text = "\n".join(" ".join(r.choices(words, k=r.randint(0, 5))) for _ in range(60)) + "\n" + "ab" * 400 + "\n" + "ab" * 90 + "\r\n end of it all"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string").select(F.posexplode(F.split("text", "\n")).alias("i", "l")).select("i", T.dedup_text(F.col("l")).alias("t")).collect()
+    assert [x["t"] if len(x["t"]) >= 8 else "" for x in rows] == L.comparable(text)
+    grams = {x["i"]: ({a + b for a, b in zip(x["t"], x["t"][1:])}, x["t"]) for x in rows if len(x["t"]) >= 8}
+
+    def near(x, y):
+        (a, s), (b, t) = grams[x], grams[y]
+        n = len(a & b)
+        return s == t or (s in t or t in s) and min(len(s), len(t)) / max(len(s), len(t)) >= 0.55 or n / len(a | b) >= 0.75 or n / min(len(a), len(b)) >= 0.75
+
+    want = {(x, y) for x, y in itertools.combinations(grams, 2) if near(x, y)}
+    got = [(int(x), int(y)) for i, j in L.alike(L.comparable(text)) for x, y in zip(i, j)]
+    assert want and len(got) == len(want) and set(got) == want
+
+
+def test_near_duplicate_lines_leave_no_pair_to_the_jvm(spark):
+    from sparquill.operators import lines as L
+
+    docs = spark.createDataFrame([(1, "one same line\nother\none same line"), (2, None), (3, "")], "doc_id long, text string")
+    found = L.near_duplicates(docs)
+    assert [tuple(x) for x in found.collect()] == [(1, 0, 2)]
+    assert not any(w in found._jdf.queryExecution().optimizedPlan().toString() for w in ("Generate", "Exchange"))
