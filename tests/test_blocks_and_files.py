@@ -130,3 +130,11 @@ def test_pdf_stream_that_ends_in_a_carriage_return():
 
     head = next(h for i in range(10_000) if zlib.compress(f"BT ({(h := 'z' * (i % 50) + str(i))}) Tj ET\nBT (unit) Tj ET".encode()).endswith(b"\r"))
     assert [p["text"] for p in files.pdf_segments(made_file("pdf", [(head, ["unit"]), ("b", ["c"])]))] == [f"{head}\nunit", "b\nc"]
+
+
+def test_parts_leave_before_the_next_text_is_read(spark):
+    from sparquill.operators import blocks as B
+
+    texts = [(1, "# A\n\n" + "\n\n".join(f"Sentence number {i} of a long book that goes on and on for some time." for i in range(B.HELD + 5))), (2, None), (3, "One line of text that is long enough to cite.")]
+    rows = B.blocks_of(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).select("doc_id", "part_no").collect()
+    assert [(r["doc_id"], r["part_no"]) for r in rows] == [(1, i) for i in range(B.HELD + 6)] + [(3, 0)]
