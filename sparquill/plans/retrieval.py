@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import text as T
 from sparquill.operators import retrieval as R
-from sparquill.sources import table
+from sparquill.sources import kept, table
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -136,17 +136,24 @@ keyworded AS (SELECT query_id, doc_id, keyword, matched, row_number() OVER (PART
 KEYWORD_SQL = f"WITH {_keyword_sql()} SELECT * FROM keyworded"
 
 
-def _merged(spark, sf_dir, k: int = 20):
+def _merged(spark, sf_dir, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Each passage's k best keyword candidates, and the merged ones."""
     docs, queries = _docs(spark, sf_dir), _queries(spark, sf_dir)
-    lexical = R.lexical_scores(docs, queries, 4 * k).withColumn("lexical", F.round("lexical", 6))
-    vector = R.bow_scores(docs, queries, k=4 * k).withColumn("vector", F.round("vector", 6)).where("vector > 0")
-    hybrid = R.fused(vector, lexical, k, queries, _metadata(spark, sf_dir))
-    return R.fused_text(hybrid, keyword_topk(spark, sf_dir), k)
+    arms = R.hybrid_candidates(_named(spark, sf_dir), queries, {"vector": 4 * k, "lexical": 4 * k, "keyword": k})
+    if arms is None:
+        lexical = R.lexical_scores(docs, queries, 4 * k).withColumn("lexical", F.round("lexical", 6))
+        vector = R.bow_scores(docs, queries, k=4 * k).withColumn("vector", F.round("vector", 6)).where("vector > 0")
+        keyword, hybrid = keyword_topk(spark, sf_dir), R.fused(vector, lexical, k, queries, _metadata(spark, sf_dir))
+    else:
+        arms = kept(arms)
+        keyword = arms.where("keyword IS NOT NULL").select("query_id", "doc_id", "keyword")
+        hybrid = R.blended(arms.where("vector IS NOT NULL OR lexical IS NOT NULL").drop("keyword"), k, queries, _metadata(spark, sf_dir))
+    return keyword, R.fused_text(hybrid, keyword, k)
 
 
 def hybrid_text_merge(spark, sf_dir):
     """Fused and keyword candidates of every passage merged, with the arms that found each."""
-    return _merged(spark, sf_dir)
+    return _merged(spark, sf_dir)[1]
 
 
 _MERGED = f"""{_ARMS}, {_fused_sql(20)}, {_keyword_sql()},
@@ -160,8 +167,9 @@ MERGE_SQL = f"WITH {_MERGED} SELECT query_id, doc_id, merged, sources, rank FROM
 def hybrid_fallbacks(spark, sf_dir):
     """Per passage, whether keyword matching added anything to the fused candidates, or the mode falls back and why."""
     queries = _queries(spark, sf_dir)
-    keyword = keyword_topk(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("keyword_candidates"))
-    merged = _merged(spark, sf_dir).groupBy("query_id").agg(F.bool_or(F.col("sources").contains("keyword")).alias("used"))
+    keyword, merged = _merged(spark, sf_dir)
+    keyword = keyword.groupBy("query_id").agg(F.count("*").alias("keyword_candidates"))
+    merged = merged.groupBy("query_id").agg(F.bool_or(F.col("sources").contains("keyword")).alias("used"))
     rows = queries.select("query_id").join(keyword, "query_id", "left").join(merged, "query_id", "left")
     n = F.coalesce("keyword_candidates", F.lit(0))
     reason = F.when(n == 0, F.lit("keyword_candidates_empty")).when(F.col("used") == F.lit(False), F.lit("hybrid_no_additional_signal"))

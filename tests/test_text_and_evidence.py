@@ -158,3 +158,33 @@ def test_near_duplicate_lines_leave_no_pair_to_the_jvm(spark):
     found = L.near_duplicates(docs)
     assert [tuple(x) for x in found.collect()] == [(1, 0, 2)]
     assert not any(w in found._jdf.queryExecution().optimizedPlan().toString() for w in ("Generate", "Exchange"))
+
+
+def test_hybrid_arms_come_from_one_reading(spark):
+    """What the three arms find one by one, ties and small tasks included, from one reading of the documents."""
+    from pyspark.sql import functions as F
+    from sparquill.operators import retrieval as R
+
+    texts = ["alpha beta gamma", "Beta  beta 文件 delta", "", None, "alpha", "gamma_1 delta\nalpha beta gamma", "管理员 文件", "zzz"]
+    docs = spark.createDataFrame([(i, texts[i % 8] if i % 3 else (texts[i % 8] or "") + f" n{i % 5}", f"f{i % 4}.txt", "en") for i in range(400)], "doc_id long, text string, name string, metadata string").repartition(3)
+    queries = spark.createDataFrame([(1, "alpha beta gamma"), (2, "文件 delta"), (3, ""), (4, None), (5, "n3 gamma_1 f2.txt")], "query_id long, query string")
+    got = R.hybrid_candidates(docs, queries, {"vector": 6, "lexical": 5, "keyword": 4})
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    lexical = R.top_k(R.lexical_scores(docs, queries).withColumn("lexical", F.round("lexical", 6)), 5, "lexical")
+    vector = R.top_k(R.bow_scores(docs, queries).withColumn("vector", F.round("vector", 6)).where("vector > 0"), 6, "vector")
+    keyword = R.top_k(R.keyword_scores(docs, queries), 4, "keyword")
+    rows = got.collect()
+    for arm, want in (("lexical", lexical), ("vector", vector), ("keyword", keyword)):
+        assert {(r["query_id"], r["doc_id"], r[arm]) for r in rows if r[arm] is not None} == {(r["query_id"], r["doc_id"], r[arm]) for r in want.collect()}
+
+
+def test_attributes_are_those_of_the_guarded_patterns(spark):
+    from pyspark.sql import functions as F
+    from sparquill.functions import questions as Q
+
+    texts = ["the default value", "defaults to 1", "default-value", "x_default", "office", "officer", "1office", "éoffice", "在哪里office", "default \x01value", "city\n", "颜色 和 colour", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    guarded = F.array_compact(F.array(*(F.when(F.col("t").rlike(Q.guarded(a)), F.lit(n)) for n, a in Q.ALIASES.items())))
+    got = Q.attributes_in(F.col("t"))
+    assert "rlike" not in rows.select(got)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert all(r["a"] == r["b"] for r in rows.select(guarded.alias("a"), got.alias("b")).collect())
