@@ -73,3 +73,43 @@ def test_gate(spark):
     assert r["reason"] == "missing_exact_identifier_support"
     r = gate(spark, "anything", [])
     assert r["reason"] == "no_evidence" and r["support_score"] == 0.0
+
+
+def test_columns_as_text_equal_pyspark(spark):
+    from pyspark.sql import functions as P
+    from sparquill.functions import columns as T
+
+    def made(F):
+        c = F.col("s")
+        step = lambda a, x: F.struct((a["n"] + x["k"]).alias("n"), F.concat(a["t"], x["t"]).alias("t"))
+        return {
+            "lit": F.concat(F.lit("it's \\d \n`"), c), "re": F.regexp_replace(c, r"(\w+)'(?:s|$)\\?", "<$1>"), "in": c.isin("a", "it's") | ~c.rlike(r"^\w"), "case": F.when(c == "b", 1).when(c.isNull(), -2).otherwise(3), "open": F.when(c == "b", F.lit(0.5) - F.size("xs") / 2),
+            "nested": F.transform("xs", lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), F.filter("xs", lambda y: y["k"] > x["k"]).alias("more"))), "fold": F.aggregate("xs", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit("").alias("t")), step),
+            "mixed": F.transform("xs", lambda x: P.concat(x["t"], P.lit("!"))), "split": F.split(c, "[' ]")[0], "null": F.coalesce(F.lit(None).cast("string"), F.lit("${x}")), "struct": F.struct("s", F.col("xs")[0]["t"].alias("t")),
+        }
+
+    rows = spark.createDataFrame([("it's", [(1, "p"), (5, "q")]), ("b", [(2, "r")]), (None, [(3, "z")])], "s string, xs array<struct<k: bigint, t: string>>")
+    want, got = (rows.select(*(c.alias(n) for n, c in made(F).items())) for F in (P, T))
+    assert got.dtypes == want.dtypes
+    assert got.collect() == want.collect()
+
+
+def test_plan_asks_the_jvm_little(spark, monkeypatch):
+    from py4j.clientserver import JavaClient
+    from sparquill.operators import support
+
+    rows = spark.createDataFrame([("What is A?", "what is a?", ["color"], ["A"])], "q string, low string, attributes array<string>, entities array<string>")
+    asked, send = [], JavaClient.send_command
+    monkeypatch.setattr(JavaClient, "send_command", lambda self, *args, **more: asked.append(1) or send(self, *args, **more))
+    support.profile(rows)
+    assert len(asked) < 1000
+
+
+def test_context_before_a_unit(spark):
+    from pyspark.sql import functions as F
+    from sparquill.operators import units
+
+    chunk = "# One\nfirst line\n# Two\n" + "word " * 100 + "\nthe unit here"
+    rows = spark.createDataFrame([("# One\nfirst line\nthe unit", "the unit"), (chunk, "the unit here"), ("other", "the unit"), ("the unit", "the unit")], "chunk string, unit string")
+    got = [r[0] for r in rows.select(units.local_context(F.col("chunk"), F.col("unit"))).collect()]
+    assert got[0] == "# One first line" and got[1].startswith("# Two word") and got[1].endswith("...") and len(got[1]) <= 400 and got[2:] == [None, ""]
